@@ -1,8 +1,8 @@
 """Chat formatting over reply trees, in DataFrame operations only.
 
-Messages form trees. Iterative self-joins walk from the roots to the leaves, one level of replies a round; every path
-from a root to a leaf is a branch. Branches of a tree are ranked by the sum of their messages' scores, then by
-length, then by the messages' keys; each chosen branch is formatted as one conversation.
+Messages form trees. Iterative self-joins enumerate the paths from roots to leaves, twice as far each round; every
+path is a branch. Branches of a tree are ranked by the sum of their messages' scores, then by
+length, then by the leaf's key; each chosen branch is formatted as one conversation.
 
 Template of a turn:  ``<turn role>\\n`` text ``</turn>\\n``.  Texts escape ``\\``, ``<`` and ``#`` as ``\\\\``, ``\\l``
 and ``\\h``, so no control string can appear inside one, and reading back is exact.
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, written
+from .common import written
 
 OPEN, MID, CLOSE = "<turn ", ">\n", "</turn>\n"
 
@@ -44,34 +44,40 @@ def branches(tree: DataFrame, conv: str = "conv_id", best: int | None = 1) -> Da
 
     ``tree`` has conv, node, parent (null at a root), role, text and score. Null roles and texts are empty, null scores 0.
     turns is an array of structs (role, text) from the root. A parent that does not exist makes its reply a root; a
-    message that replies to itself, or to a circle, is on no path from a root and is left out. Repeated (conv, node)
-    rows keep the smallest (parent, role, text), a null one first. A null conv is a conversation of its own. Each round joins the
-    paths that grew in the last one with their replies, so the number of rounds is the longest path.
+    message below or in a circle of replies is on no path from a root and is left out. Repeated (conv, node) rows
+    keep the smallest (parent, role, text), null parents first. A null conv is a conversation of its own. Empty tables give
+    empty results.
+
+    Rounds of two self-joins double what is known: each leaf's ancestors up to distance 2**k, and each message's
+    ancestor at distance 2**k. So a path of n messages takes log2(n) rounds, and only keys travel; texts come last.
     """
     nodes = tree.select(F.coalesce(F.col(conv).cast("string"), F.lit("")).alias("c"), F.col(conv).isNull().alias("no"), "node", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"))
     nodes = nodes.groupBy("c", "no", "node").agg(F.min(F.struct(F.col("parent").isNotNull().alias("has"), "parent", "role", "text", "score")).alias("m")).select("c", "no", "node", "m.parent", "m.role", "m.text", "m.score")
     nodes = written(nodes, "nodes")
-    keys = nodes.select("c", "no", F.col("node").alias("parent"), F.lit(True).alias("known"))
-    linked = nodes.join(keys, ["c", "no", "parent"], "left")
-    turn = F.struct("role", "text")
-    grown = linked.where("known is null").select("c", "no", "node", F.array("node").alias("path"), F.array(turn).alias("turns"), "score")
-    replies = linked.where("known").select("c", "no", F.col("parent").alias("node"), F.col("node").alias("reply"), F.array(turn).alias("said"), F.col("score").alias("more"))
-    parents = nodes.where("parent is not null").select("c", "no", F.col("parent").alias("node")).distinct()
-    ended, old = [], None
-    grown = written(grown, "paths")
-    while not grown.isEmpty():
-        ended.append(grown.join(parents, ["c", "no", "node"], "left_anti"))
-        grown = written(grown.join(replies, ["c", "no", "node"]).select("c", "no", F.col("reply").alias("node"), F.concat("path", F.array("reply")).alias("path"), F.concat("turns", "said").alias("turns"), (F.col("score") + F.col("more")).alias("score")), "paths")
-    if not ended:
-        return tree.limit(0).select(conv, F.lit(1).alias("branch"), F.array(F.struct(F.lit("").alias("role"), F.lit("").alias("text"))).alias("turns"))
-    paths = ended[0]
-    for more in ended[1:]:
-        paths = paths.unionByName(more)
-    rank = F.row_number().over(Window.partitionBy("c", "no").orderBy(F.desc("score"), F.desc(F.size("path")), "path"))
-    paths = paths.withColumn("branch", rank)
+    one = ["c", "no"]
+    most = nodes.groupBy(*one).count().agg(F.max("count")).head()[0] or 0
+    known = nodes.select(*one, F.col("node").alias("parent"))
+    lift = nodes.select(*one, "node", "parent").join(known, [*one, "parent"]).select(*one, "node", F.col("parent").alias("up"))
+    lift = written(lift, "lift")
+    inner = lift.select(*one, F.col("up").alias("node")).distinct()
+    reach = nodes.join(inner, [*one, "node"], "left_anti").select(*one, F.col("node").alias("leaf"), "node", F.lit(0).alias("far"))
+    top = nodes.join(lift, [*one, "node"], "left_anti").select(*one, "node", F.lit(True).alias("root"))
+    step = 1
+    while step <= most and not lift.isEmpty():
+        reach = written(reach.union(reach.join(lift, [*one, "node"]).select(*one, "leaf", F.col("up").alias("node"), (F.col("far") + step).alias("far"))), "reach")
+        above = lift.select(*one, F.col("node").alias("up"), F.col("up").alias("next"))
+        lift = written(lift.join(above, [*one, "up"]).select(*one, "node", F.col("next").alias("up")), "lift")
+        step *= 2
+    scores = nodes.select(*one, "node", "score").join(top, [*one, "node"], "left")
+    paths = reach.join(scores, [*one, "node"]).groupBy(*one, "leaf").agg(F.sum("score").alias("score"), F.count("*").alias("length"), F.max("root").alias("root")).where("root")
+    rank = F.row_number().over(Window.partitionBy(*one).orderBy(F.desc("score"), F.desc("length"), "leaf"))
+    paths = paths.withColumn("branch", rank).select(*one, "leaf", "branch")
     if best is not None:
         paths = paths.where(F.col("branch") <= best)
-    return paths.select(F.when(~F.col("no"), F.col("c")).cast(tree.schema[conv].dataType).alias(conv), "branch", "turns")
+    told = reach.join(paths, [*one, "leaf"]).join(nodes.select(*one, "node", "role", "text"), [*one, "node"])
+    turns = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("far")).alias("at"), "role", "text"))), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    told = told.groupBy(*one, "branch").agg(turns.alias("turns"))
+    return told.select(F.when(~F.col("no"), F.col("c")).cast(tree.schema[conv].dataType).alias(conv), "branch", "turns")
 
 
 def formatted(paths: DataFrame) -> DataFrame:
