@@ -3,8 +3,8 @@
 Every document's distinct word shingles give MinHash samples; runs of samples (bands) are bucket keys. The samples are
 also folded into an odd sketch: a bitmap in which each sample flips one bit, so the population count of the XOR of two
 sketches tells how many samples differ, most precisely at high similarity. Documents with equal sets are one class from
-the start. In each bucket, members are first compared with two of its members (hubs); only where a bucket then still spans several groups are its
-members of different groups compared with each other. Pairs that the sketches let through are confirmed on full sets.
+the start. In each bucket, members are first compared with two of its members (hubs), and where a bucket spans several groups a few times more;
+only where groups still differ then are their members compared with each other, block by block. Pairs that the sketches let through are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,19 +22,24 @@ from . import texthash as th
 from .common import forget, written
 from .components import connected_components
 
-#: Bands and samples of a band: a pair at similarity 0.8 shares no band with probability 7e-5. Words of 64 bits of a sketch.
-BANDS, ROWS, SKETCH = 24, 5, 8
+#: Bands and samples of a band: a pair at similarity 0.8 shares no band with probability 7e-5. Samples that the sketch
+#: folds, those of the bands among them, and its words of 64 bits.
+BANDS, ROWS, SAMPLES, SKETCH = 24, 5, 360, 24
+#: Times that the groups of a bucket are compared with a member drawn anew, before members are compared with each other.
+HUB_ROUNDS = 1
+#: Rows of a block; any two blocks of documents that are compared each with each are a task.
+BLOCK = 512
 _R = np.random.default_rng(77)
-_MUL = _R.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_ADD = _R.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
+_MUL = _R.integers(0, 2**31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_ADD = _R.integers(0, 2**32, SAMPLES, dtype=np.uint32)
 
 
 def samples(sets: list[np.ndarray]) -> np.ndarray:
     """MinHash samples of non-empty sets of 64-bit hashes, one row for each."""
     first = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
     low = (np.concatenate(sets) >> np.uint64(16)).astype(np.uint32)
-    out = np.empty((len(sets), BANDS * ROWS), np.uint32)
-    for k in range(BANDS * ROWS):
+    out = np.empty((len(sets), SAMPLES), np.uint32)
+    for k in range(SAMPLES):
         h = low * _MUL[k] + _ADD[k]
         h ^= h >> np.uint32(15)
         out[:, k] = np.minimum.reduceat(h * _MUL[k - 1], first)
@@ -50,9 +56,9 @@ def odd_sketch(sample: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def most_bits(similarity: float, sigmas: float = 5.0) -> int:
+def most_bits(similarity: float, sigmas: float = 4.0) -> int:
     """The count of differing sketch bits that pairs of ``similarity`` exceed with negligible probability."""
-    k, n = BANDS * ROWS, 64 * SKETCH
+    k, n = SAMPLES, 64 * SKETCH
     differ = k * (1 - similarity) + sigmas * math.sqrt(k * similarity * (1 - similarity))
     odd = n / 2 * (1 - math.exp(-4 * differ / n))
     return math.ceil(odd + sigmas * math.sqrt(odd) / 2)
@@ -76,7 +82,7 @@ def _profile(width: int):
                     drawn = samples(filled)
                     key = np.zeros((len(some), BANDS), np.uint64)
                     for k in range(ROWS):
-                        key = th.mix(key * np.uint64(31) + drawn[:, k::ROWS].astype(np.uint64) + np.uint64(k))
+                        key = th.mix(key * np.uint64(31) + drawn[:, k : BANDS * ROWS : ROWS].astype(np.uint64) + np.uint64(k))
                     bands[some], sketch[some] = key.view(np.int64), odd_sketch(drawn)
                 lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(at.start, at.stop - at.start), pa.array(n), pa.array(h1), pa.array(h2), lists(bands), lists(sketch)], ["id", "n", "h1", "h2", "bands", "sketch"])
@@ -96,6 +102,41 @@ def _sets(width: int):
     return run
 
 
+def _each_with_each(percent: int, limit: int):
+    """Two blocks of documents: sketches of all pairs of different groups, full sets of those that pass, until a pair of groups is linked."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        split = pdf["i"].iloc[0] != pdf["j"].iloc[0]
+        bits, n, mine, ids = np.stack(pdf["sketch"]).view(np.uint64), pdf["n"].to_numpy(), pdf["mine"].to_numpy(), pdf["id"].to_list()
+        group = pd.factorize(pdf["g"])[0]
+        sets = [np.sort(x) for x in pdf["shingles"]]
+        up = {g: g for g in set(group.tolist())}
+
+        def root(g: int) -> int:
+            while up[g] != g:
+                up[g] = up[up[g]]
+                g = up[g]
+            return g
+
+        out = []
+        for a in range(len(ids) - 1):
+            apart = np.bitwise_count(bits[a + 1 :] ^ bits[a]).sum(axis=1)
+            ok = (apart <= limit) & (group[a + 1 :] != group[a]) & (100 * np.minimum(n[a + 1 :], n[a]) >= percent * np.maximum(n[a + 1 :], n[a]))
+            if split:
+                ok &= mine[a + 1 :] != mine[a]
+            for b in (np.flatnonzero(ok) + a + 1)[np.argsort(apart[ok], kind="stable")]:
+                if (x := root(int(group[a]))) != (y := root(int(group[b]))):
+                    at = np.searchsorted(sets[b], sets[a])
+                    at[at == len(sets[b])] = 0
+                    shared = int((sets[b][at] == sets[a]).sum())
+                    if 100 * shared >= percent * (len(sets[a]) + len(sets[b]) - shared):
+                        up[x] = y
+                        out.append((ids[a], ids[b]))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id_col, n_shingles, component_id, kept), one per row of ``docs``.
 
@@ -113,21 +154,35 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, id_col:
     reps = has.groupBy(*same).agg(F.min("id").alias("id"))
     own = has.select("id", *same).join(reps.withColumnRenamed("id", "rep"), same).select("id", "rep")
     own = written(own, "classes")
-    rows = written(has.join(reps.hint("shuffle_hash"), [*same, "id"], "left_semi").dropDuplicates(["id", *same]).select("id", "bands", "sketch"), "classes")
+    rows = written(has.join(reps.hint("shuffle_hash"), [*same, "id"], "left_semi").dropDuplicates(["id", *same]).select("id", "n", "bands", "sketch"), "classes")
     spread = rows.select("id", F.posexplode("bands").alias("band", "key"))
     crowded = spread.groupBy("band", "key").agg(F.count("*").alias("rows"), F.min("id").alias("hub"), F.min(F.struct(F.xxhash64("id"), "id"))["id"].alias("hub2")).where("rows > 1")
     members = written(spread.join(crowded.hint("merge"), ["band", "key"]).select("id", "band", "key", "hub", "hub2"), "buckets")
-    sketches = rows.select("id", "sketch")
+    sketches = rows.select("id", "n", "sketch")
     limit = most_bits(percent / 100)
     bits = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
+    def sets_of(ids: DataFrame) -> DataFrame:
+        some = texts.join(ids.hint("shuffle_hash"), "id", "left_semi")
+        return written(some.mapInArrow(_sets(width), f"id {kind}, shingles array<long>"), "sets")
+
+    def across(mixed: DataFrame) -> DataFrame:
+        """Links (a, b) between members of different groups, all of a cluster of buckets against all, block by block."""
+        clusters = connected_components(mixed, "id", "hub").withColumnRenamed("component_id", "cluster")
+        there = mixed.select("id", "g").distinct().join(clusters, "id")
+        blocks = there.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        sets = sets_of(there.select("id"))
+        there = there.join(blocks.hint("merge"), "cluster").join(sketches.hint("merge"), "id").join(sets.hint("merge"), "id")
+        there = there.withColumn("mine", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        there = there.select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "g", "n", "sketch", "shingles")
+        return written(there.groupBy("cluster", "i", "j").applyInPandas(_each_with_each(percent, limit), f"a {kind}, b {kind}"), "confirmed")
+
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that the sketches let through and the full sets confirm."""
-        pairs = pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
+        named = lambda x: sketches.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+        pairs = pairs.join(named("a"), "a").join(named("b"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         pairs = written(pairs.where(bits("sa", "sb") <= limit).select("a", "b"), "candidates")
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        sets = texts.join(needed.hint("shuffle_hash"), "id", "left_semi")
-        sets = written(sets.mapInArrow(_sets(width), f"id {kind}, shingles array<long>"), "sets")
+        sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("xa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("xb")), "b")
         shared = F.size(F.array_intersect("xa", "xb"))
         out = written(both.where(100 * shared >= percent * (F.size("xa") + F.size("xb") - shared)).select("a", "b").distinct(), "confirmed")
@@ -137,14 +192,21 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, id_col:
     to_hub = lambda hub: members.where(F.col("id") != F.col(hub)).select(F.col(hub).alias("a"), F.col("id").alias("b"))
     links = confirmed(to_hub("hub").union(to_hub("hub2")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     groups = connected_components(links, "a", "b")
-    placed = members.join(groups, "id", "left").select("id", "band", "key", F.coalesce("component_id", "id").alias("g"))
-    mixed = placed.groupBy("band", "key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi")
-    rest = written(placed.join(mixed.select("band", "key").hint("shuffle_hash"), ["band", "key"]).join(sketches, "id"), "mixed")
-    if not rest.isEmpty():
-        a, b = rest.alias("a"), rest.alias("b").hint("merge")
-        on = (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.g") != F.col("b.g")) & (bits("a.sketch", "b.sketch") <= limit)
-        across = a.join(b, on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct().join(links, ["a", "b"], "left_anti")
-        links = links.union(confirmed(across))
+    in_groups = lambda: members.join(groups, "id", "left").select("id", "band", "key", F.coalesce("component_id", "id").alias("g"))
+    for k in range(HUB_ROUNDS + 1):
+        placed = in_groups()
+        drawn = F.min(F.struct(F.xxhash64("id", F.lit(k), "band"), "id", "g"))
+        mixed = placed.groupBy("band", "key").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), drawn.alias("hub")).where("lo < hi")
+        mixed = placed.join(mixed.select("band", "key", "hub.id", "hub.g").toDF("band", "key", "hub", "hub_g").hint("shuffle_hash"), ["band", "key"])
+        mixed = written(mixed, "mixed")
+        if mixed.isEmpty():
+            break
+        if k < HUB_ROUNDS:
+            pairs = mixed.where("g != hub_g").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+            more = confirmed(pairs.distinct().join(links, ["a", "b"], "left_anti"))
+        else:
+            more = across(mixed)
+        links = links.union(more)
         groups = connected_components(links, "a", "b")
     groups = groups.withColumnRenamed("id", "rep")
     found = own.distinct().join(groups, "rep", "left").select("id", F.coalesce("component_id", "rep").alias("component_id")).groupBy("id").agg(F.min("component_id").alias("component_id"))
