@@ -27,7 +27,7 @@ from .components import connected_components
 CELL_WIDTH = 1.5
 
 
-def plan_tables(n: int, threshold: float, cell_rows: int = 64, miss: float = 0.003) -> tuple[int, int]:
+def plan_tables(n: int, threshold: float, cell_rows: int = 300, miss: float = 0.003) -> tuple[int, int]:
     """(lines of a table, tables) for ``n`` vectors: cells of about ``cell_rows``, a pair at the threshold missed with probability ``miss``."""
     edges = np.arange(-9, 10) * CELL_WIDTH
     cdf = np.array([0.5 * (1 + math.erf(x / math.sqrt(2))) for x in edges])
