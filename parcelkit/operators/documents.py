@@ -21,6 +21,11 @@ def fold(text: Column) -> Column:
     return F.translate(F.lower(text), "áäčďéěíĺľňóôöřŕšťúůüýž", "aacdeeillnooorrstuuuyz")
 
 
+def target_label(folded: Column) -> Column:
+    """The code that a folded text names in words: mixed housing before housing before recreation; null if none."""
+    return F.when(folded.rlike(r"\bsmisene\s+(obytne|bydleni)\b"), "S").when(folded.rlike(r"\bbydleni\b|\bobyt(ne|ny)\b"), "B").when(folded.rlike(r"\brekreac(e|ni|ny)\b"), "R")
+
+
 def rings(fragments: DataFrame) -> DataFrame:
     """Fragments as polygons: a triangle or rectangle at (x0, y0); every fifth one has a hole, inset by a quarter."""
     x, y, w, h = (F.col(c) for c in ("x0", "y0", "w", "h"))
@@ -122,8 +127,7 @@ def text_specs(spans: DataFrame) -> DataFrame:
     """Spans with text: trimmed and folded text, its code, its label's code, role and score. Blank texts go."""
     t = spans.withColumn("text", F.trim("raw_text")).where("text <> ''").withColumn("normalized", F.regexp_replace(fold(F.col("text")), r"\s+", " "))
     t = t.withColumn("code", s.target_code(F.col("text")))
-    label = F.when(F.col("normalized").rlike(r"\bsmisene\s+(obytne|bydleni)\b"), "S").when(F.col("normalized").rlike(r"\bbydleni\b|\bobyt(ne|ny)\b"), "B").when(F.col("normalized").rlike(r"\brekreac(e|ni|ny)\b"), "R")
-    t = t.withColumn("label", label)
+    t = t.withColumn("label", target_label(F.col("normalized")))
     role = F.when(F.col("code").isNotNull(), "code").when(F.col("label").isNotNull(), "label").otherwise("text")
     return t.withColumn("role", role).withColumn("chars", F.length("text"))
 
