@@ -89,7 +89,10 @@ def nearest(
     classes = first.groupBy("h").agg(F.sort_array(F.collect_list("id")).alias("ids")).join(rows.groupBy("h").agg(F.first("v").alias("v")), "h")
     classes = written(classes, "classes")
     sample = classes.orderBy(F.xxhash64("h")).limit(SAMPLE_ROWS).select("v").toPandas()
-    forest = df.sparkSession.sparkContext.broadcast(Forest(_unit(np.stack(sample["v"])), trees, depth, seed))
+    if sample.empty:
+        return df.sparkSession.createDataFrame([], schema)
+    fill = max(1.0, len(sample) / (2 * (k + 1)))  # no tree is deeper than its leaves hold twice k + 1 of the sample
+    forest = df.sparkSession.sparkContext.broadcast(Forest(_unit(np.stack(sample["v"])), trees, min(depth, int(np.log2(fill))), seed))
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

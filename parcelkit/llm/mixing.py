@@ -39,10 +39,11 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     copies is floor(rate) plus one if a hash of seed, id, size and source, as a number in [0, 1), is below the fraction;
     the same rows give the same copies on every run. Null texts and empty ones have size 0 and a source whose
     sizes are all 0 has target 0. Repeated rows get the same copies. An empty table gives an empty result. The columns of ``df``
-    stay; the five new names must be free. The table of sources is broadcast only by Spark's own size check; a source
+    stay, but those with the five new names are replaced. The table of sources is broadcast only by Spark's own size check; a source
     that holds most rows costs nothing extra, since sizes are summed before the shuffle.
     """
-    sized = df.withColumn("size", words(F.col(text_col)))
+    own = {"size", "source_size", "target", "rate", "copies"} - {id_col, text_col, source_col}
+    sized = df.drop(*own).withColumn("size", words(F.col(text_col)))
     per = targets(sized.groupBy(F.col(source_col).alias("_source")).agg(F.sum("size").alias("source_size")), "_source", "source_size", most)
     out = sized.join(per, F.col(source_col).eqNullSafe(F.col("_source"))).drop("_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -52,7 +53,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     return out.withColumn("copies", (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))
 
 
-def mixed(df: DataFrame, **options) -> DataFrame:
-    """The mix itself: the rows of ``df``, each as often as :func:`mix` says, with the columns of ``df``."""
-    out = mix(df, **options)
-    return out.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*df.columns)
+def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mix itself: the rows of ``df``, each as often as :func:`mix` says, with the columns of ``df`` as they were."""
+    packed = df.select(F.struct(*df.columns).alias("_row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
+    out = mix(packed, "id", "text", "source", **options)
+    return out.where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")

@@ -36,11 +36,13 @@ def bounded_ring(df: DataFrame, key: str, size: str, shards: int, slack: float =
     A shard stops taking rows once its load reaches (1 + slack) times the mean, so no shard exceeds that by more than
     one row. The key and the loads decide; a key that is null hashes like any value. Rows with the same key share a
     place on the ring but are split between shards when the bound demands it. Null sizes count 0. An empty table gives
-    an empty result; columns of ``df`` are kept, names that begin with ``_ring`` are reserved.
+    an empty result; columns of ``df`` are kept, but those named shard and slot are replaced.
     """
     spark = df.sparkSession
     place = F.xxhash64(F.lit(seed), F.col(key))
-    left = written(df.withColumn("_ring_at", place).withColumn("_ring_ticket", F.pmod(F.shiftright(place, 20), F.lit(TICKETS))).withColumn("_ring_size", F.coalesce(F.col(size), F.lit(0)).cast("long")), "ring")
+    own = [c for c in df.columns if c not in ("shard", "slot")]
+    packed = df.select(F.struct(*own).alias("_ring_row"), F.col(key).alias("_ring_key"), place.alias("_ring_at"), F.pmod(F.shiftright(place, 20), F.lit(TICKETS)).alias("_ring_ticket"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("_ring_size"))
+    left = written(packed, "ring")
     rows, total = left.agg(F.count("*"), F.sum("_ring_size")).head()
     bound = max(1, -(-int((total or 0) * (1 + slack)) // shards))
     loads, placed, rounds = dict.fromkeys(range(shards), 0), [], 0
@@ -54,7 +56,7 @@ def bounded_ring(df: DataFrame, key: str, size: str, shards: int, slack: float =
         plan = sums.join(F.broadcast(ring), "ticket").withColumn("before", F.coalesce(F.sum("bytes").over(upto), F.lit(0)) + had[F.col("shard")])
         plan = plan.where(F.col("before") < bound).select(F.col("ticket").alias("_ring_ticket"), F.col("shard").alias("shard"), "before", (F.col("before") + F.col("bytes") <= bound).alias("fits"))
         dealt = left.join(F.broadcast(plan), "_ring_ticket", "left")
-        inside = Window.partitionBy("_ring_ticket").orderBy("_ring_at", "_ring_size", *[c for c in df.columns if c == key]).rowsBetween(Window.unboundedPreceding, -1)
+        inside = Window.partitionBy("_ring_ticket").orderBy("_ring_at", "_ring_size", "_ring_key").rowsBetween(Window.unboundedPreceding, -1)
         split = dealt.where("not fits").withColumn("before", F.col("before") + F.coalesce(F.sum("_ring_size").over(inside), F.lit(0)))
         split = split.withColumn("shard", F.when(F.col("before") < bound, F.col("shard")))
         dealt = written(dealt.where("fits is null or fits").unionByName(split).drop("before", "fits"), "ring")
@@ -67,7 +69,7 @@ def bounded_ring(df: DataFrame, key: str, size: str, shards: int, slack: float =
         rows, rounds = left.count(), rounds + 1
         left = written(left, "ring") if rows else left
     if not placed:
-        return df.limit(0).withColumn("shard", F.lit(0)).withColumn("slot", F.lit(0).cast("long"))
+        return df.select(*own).limit(0).withColumn("shard", F.lit(0)).withColumn("slot", F.lit(0).cast("long"))
     out = placed[0]
     for more in placed[1:]:
         out = out.unionByName(more)
@@ -76,4 +78,4 @@ def bounded_ring(df: DataFrame, key: str, size: str, shards: int, slack: float =
     first = counts.select("shard", "_ring_ticket", F.coalesce(F.sum("_ring_n").over(upto), F.lit(0)).alias("_ring_first"))
     one = Window.partitionBy("shard", "_ring_ticket").orderBy("_ring_at", "_ring_size")
     out = out.join(F.broadcast(first), ["shard", "_ring_ticket"]).withColumn("slot", F.row_number().over(one) - 1 + F.col("_ring_first"))
-    return out.select(*df.columns, "shard", F.col("slot").cast("long").alias("slot"))
+    return out.select("_ring_row.*", "shard", F.col("slot").cast("long").alias("slot"))

@@ -233,13 +233,13 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     included; overlaps count and strings are judged on the input. Null and empty texts have no bytes; a null text keeps
     an empty ``kept``. Matches never cross documents. Repeated rows are copies of each other, so all their strings
     of ``length`` bytes go. With ``whole_characters`` a character that repeats only in part stays, so that kept is UTF-8. Strings
-    are compared by 64-bit hashes within equal 64-bit anchors. Other columns stay; the new names must be free. Empty
+    are compared by 64-bit hashes within equal 64-bit anchors. Other columns stay, but those with the new names are replaced. Empty
     tables give empty results. Rows are told apart by a 64-bit hash of id and text.
     """
-    keyed = docs.withColumn("_k", F.xxhash64(F.col(id_col), F.col(text_col)))
-    found = repeated_windows(keyed, "_k", text_col, length, batches)
-    joined = keyed.join(found, "_k", "left")
-    packed = joined.select(F.struct(*docs.columns).alias("row"), "runs")
+    docs = docs.drop(*({"kept", "spans", "kept_sha256", "n_bytes", "n_removed"} - {id_col, text_col}))
+    keyed = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("_k"), F.struct(*docs.columns).alias("row"))
+    found = repeated_windows(keyed.select("_k", F.col("row")[text_col].alias("_text")), "_k", "_text", length, batches)
+    packed = keyed.join(found, "_k", "left").select("row", "runs")
     row = docs.schema.simpleString()
     out = packed.mapInArrow(_cut(length, text_col, whole_characters), f"row {row}, kept binary, spans array<struct<first:int,last:int>>, sha256 string")
     n = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long")
