@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from parcelkit.plans import catalogue, evidence  # noqa: F401
+from parcelkit.plans import catalogue, evidence, paths  # noqa: F401
 
 SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events pages".split()
