@@ -86,28 +86,41 @@ def assemble_rings(items: Column, least: float = LEAST) -> Column:
     return F.filter(rings, lambda r: (F.size(r) >= 4) & (g.ring_area_abs(r) > least))
 
 
-def polygons(drawings: DataFrame, least: float = LEAST) -> DataFrame:
-    """``drawings`` (with rings) with polygons: even depth is an outer ring, odd depth a hole of the smallest even ring around it.
+def polygons_of(rings: Column, least: float = LEAST) -> Column:
+    """Rings as polygons: even depth is an outer ring, odd depth a hole of the smallest even ring around it.
 
     Depth counts the larger rings of the drawing around a ring's first point. A hole without such a ring is a polygon of its own;
     where holes leave no more than ``least``, only the outer ring stays. Null or no rings give no polygons. A drawing of one
     ring, as most are, skips all this.
     """
-    rows = drawings.withColumn("_r", F.transform(F.when(F.size("rings") > 1, F.col("rings")), lambda r, i: F.struct(i.alias("i"), r.alias("ring"), g.ring_area_abs(r).alias("area"))))
 
-    def around(a: Column) -> Column:
-        inside = lambda o: (o["area"] > a["area"]) & g.point_in_ring(o["ring"], F.get(a["ring"], F.lit(0))["x"], F.get(a["ring"], F.lit(0))["y"])
-        return F.transform(F.filter("_r", inside), lambda o: F.struct(o["area"], o["i"]))
+    def around(every: Column, a: Column) -> Column:
+        start = F.get(a["ring"], F.lit(0))
+        larger = F.filter(every, lambda o: (o["area"] > a["area"]) & g.point_in_ring(o["ring"], start["x"], start["y"]))
+        return F.transform(larger, lambda o: F.struct(o["area"], o["i"]))
+
+    def owned(every: Column) -> Column:
+        odd = F.transform(F.filter(every, lambda a: F.size(a["around"]) % 2 == 1), lambda a: a["i"])
+        owner = lambda odd, a: F.array_min(F.filter(a["around"], lambda o: ~F.array_contains(odd, o["i"])))["i"]
+        return let(odd, lambda odd: F.transform(every, lambda a: F.struct(a["i"], a["ring"], F.when(F.array_contains(odd, a["i"]), owner(odd, a)).alias("owner"))))
+
+    def gathered(every: Column) -> Column:
+        holes = lambda a: F.transform(F.filter(every, lambda h: h["owner"] == a["i"]), lambda h: h["ring"])
+        whole = F.transform(F.filter(every, lambda a: a["owner"].isNull()), lambda a: F.concat(F.array(a["ring"]), holes(a)))
+        return F.transform(whole, lambda p: F.when(g.polygon_area(p) > least, p).otherwise(F.slice(p, 1, 1)))
+
+    def many(rings: Column) -> Column:
+        sized = F.transform(rings, lambda r, i: F.struct(i.alias("i"), r.alias("ring"), g.ring_area_abs(r).alias("area")))
+        deep = let(sized, lambda every: F.transform(every, lambda a: F.struct(a["i"], a["ring"], around(every, a).alias("around"))))
+        return let(let(deep, owned), gathered)
 
-    rows = rows.withColumn("_r", F.transform("_r", lambda a: F.struct(a["i"], a["ring"], around(a).alias("around"))))
-    odd = F.transform(F.filter("_r", lambda a: F.size(a["around"]) % 2 == 1), lambda a: a["i"])
-    rows = rows.withColumn("_odd", odd)
-    owner = lambda a: F.array_min(F.filter(a["around"], lambda o: ~F.array_contains("_odd", o["i"])))["i"]
-    rows = rows.withColumn("_r", F.transform("_r", lambda a: F.struct(a["i"], a["ring"], F.when(F.array_contains("_odd", a["i"]), owner(a)).alias("owner"))))
-    outer = F.filter("_r", lambda a: a["owner"].isNull())
-    whole = F.transform(outer, lambda a: F.concat(F.array(a["ring"]), F.transform(F.filter("_r", lambda h: h["owner"] == a["i"]), lambda h: h["ring"])))
-    out = F.transform(whole, lambda p: F.when(g.polygon_area(p) > least, p).otherwise(F.slice(p, 1, 1)))
-    return rows.withColumn("polygons", F.coalesce(F.when(F.size("rings") == 1, F.array("rings")), out, F.expr(f"cast(array() as array<array<{RING}>>)"))).drop("_r", "_odd")
+    none = F.expr(f"cast(array() as array<array<{RING}>>)")
+    return let(rings, lambda r: F.when(F.size(r) > 1, many(r)).when(F.size(r) == 1, F.array(r)).otherwise(none))
+
+
+def polygons(drawings: DataFrame, least: float = LEAST) -> DataFrame:
+    """``drawings`` (with items) with polygons, by :func:`assemble_rings` and :func:`polygons_of`."""
+    return drawings.withColumn("polygons", polygons_of(assemble_rings(F.col("items"), least), least))
 
 
 def numbered(rows: DataFrame, name: str, index: str, *more: str, chunk: int = 4096) -> DataFrame:
@@ -126,7 +139,8 @@ def numbered(rows: DataFrame, name: str, index: str, *more: str, chunk: int = 40
 
 def emit_features(drawings: DataFrame, page: tuple[float, float]) -> DataFrame:
     """One unclassified feature per polygon of a filled drawing (with polygons), but for white ones as large as the page, numbered by fid."""
-    rows = drawings.where("fill_hex is not null").select("*", F.posexplode("polygons").alias("part_index", "polygon"))
+    # An outer explode: Spark would check the other one's input before it, and compute the polygons twice.
+    rows = drawings.where("fill_hex is not null").select("*", F.posexplode_outer("polygons").alias("part_index", "polygon")).where("polygon is not null")
     rows = rows.where(~background(F.col("polygon"), page)).withColumn("only_rects", ~F.exists("items", lambda i: i["op"] != "re"))
     rows = rows.withColumn("layer_class", F.lit("UNCLASSIFIED.UNMAPPED")).withColumn("class_type", F.lit("UNMAPPED.0")).withColumn("status", F.lit("candidate_requires_legend_or_profile_mapping"))
     return numbered(rows, "fid", "drawing_index", "part_index")

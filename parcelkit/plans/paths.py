@@ -28,7 +28,7 @@ def _drawings(spark, sf_dir):
 
 
 def _polygons(spark, sf_dir, least=p.LEAST):
-    return p.polygons(_drawings(spark, sf_dir).withColumn("rings", p.assemble_rings(F.col("items"), least)), least)
+    return p.polygons(_drawings(spark, sf_dir), least)
 
 
 def _parts(spark, sf_dir):
@@ -57,13 +57,13 @@ def _d2(spark, sf_dir):
 
 @query("d3_rings", PATHS + " SELECT collection_id, shape, CAST(sum(CASE WHEN inner_rect THEN 2 ELSE 1 END) AS BIGINT) AS rings, sum(CAST(outer_area AS DECIMAL(18,3))) + coalesce(sum(CASE WHEN inner_rect THEN CAST(w * h / 4 AS DECIMAL(18,3)) END), 0) AS area FROM p GROUP BY ALL", FRAGMENTS)
 def _d3(spark, sf_dir):
-    rows = _drawings(spark, sf_dir).select("collection_id", "shape", F.explode(p.assemble_rings(F.col("items"))).alias("ring"))
+    rows = _drawings(spark, sf_dir).select("collection_id", "shape", F.explode_outer(p.assemble_rings(F.col("items"))).alias("ring")).where("ring is not null")
     return rows.groupBy("collection_id", "shape").agg(F.count("*").alias("rings"), F.sum(g.ring_area_abs(F.col("ring")).cast(AREA)).alias("area"))
 
 
 @query("d4_polygons", PATHS + " SELECT collection_id, shape, count(*) AS polygons, count(*) FILTER (inner_rect) AS holes, sum(CAST(CASE WHEN inner_rect THEN outer_area - w * h / 4 ELSE outer_area END AS DECIMAL(18,3))) AS area FROM p GROUP BY ALL", FRAGMENTS)
 def _d4(spark, sf_dir):
-    rows = _polygons(spark, sf_dir).select("collection_id", "shape", F.explode("polygons").alias("polygon"))
+    rows = _polygons(spark, sf_dir).select("collection_id", "shape", F.explode_outer("polygons").alias("polygon")).where("polygon is not null")
     return rows.groupBy("collection_id", "shape").agg(F.count("*").alias("polygons"), F.sum(F.size("polygon") - 1).alias("holes"), F.sum(g.polygon_area(F.col("polygon")).cast(AREA)).alias("area"))
 
 
