@@ -5,10 +5,12 @@ how many pieces of each length share a sequence. The program asks for the least
 the histogram; multiplicative weights give every length a price, a knapsack dynamic program finds the configuration
 that is worth most, and weights of well-served lengths fall. The fractional plan is rounded down, what is left is put
 by best fit into one more list of configurations, and pieces are dealt to the places by their rank within their length.
+Where best fit alone reaches the program's bound (full histograms mostly), the program need not be solved to its end.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,10 +22,12 @@ from .common import written
 
 
 def price_out(value: np.ndarray, sizes: np.ndarray, most: np.ndarray, room: int) -> dict[int, int]:
-    """Counts by position in ``sizes`` of a most valuable knapsack of ``room``, ``most`` of each at most (in powers of two)."""
+    """Counts by position in ``sizes`` (ascending) of a most valuable knapsack of ``room``, ``most`` of each at most, all lengths considered."""
     best, steps = np.zeros(room + 1), []
-    for k in np.argsort(-value / sizes)[:160]:  # the dearest per id; the others are served when their weight has risen
-        left, unit = int(min(most[k], room // sizes[k])), 1
+    small, large = np.flatnonzero((sizes <= room // 2) & (most > 0)), np.flatnonzero((sizes > room // 2) & (most > 0))
+    scarce = most[small] < room // sizes[small]
+    for k in small[scarce]:  # in powers of two; those that no sequence can exhaust come after them, one capacity after another
+        left, unit = int(most[k]), 1
         while left > 0:
             n = min(unit, left)
             w = n * int(sizes[k])
@@ -32,7 +36,27 @@ def price_out(value: np.ndarray, sizes: np.ndarray, most: np.ndarray, room: int)
             best[w:] = np.where(better, more, best[w:])
             steps.append((int(k), n, w, better))
             left, unit = left - n, unit * 2
-    at, found = int(best.argmax()), {}
+    plenty, last = small[~scarce], np.full(room + 1, -1)
+    if len(plenty):
+        worth, where, end = np.full(room // 2, -np.inf), np.zeros(room // 2, int), int(sizes[plenty[-1]])
+        worth[sizes[plenty] - 1], where[sizes[plenty] - 1] = value[plenty], plenty
+        back = best[::-1].copy()  # best[c - 1], best[c - 2], ... stand behind each other
+        for c in range(int(sizes[plenty[0]]), room + 1):
+            m = min(c, end)
+            more = worth[:m] + back[room - c + 1 : room - c + 1 + m]
+            j = int(more.argmax())
+            if more[j] > back[room - c]:
+                back[room - c], last[c] = more[j], where[j]
+        best = back[::-1]
+    at, found = room, {}
+    if len(large):  # one at most
+        more = value[large] + best[room - sizes[large]]
+        j = int(more.argmax())
+        if more[j] > best[room]:
+            at, found = room - int(sizes[large[j]]), {int(large[j]): 1}
+    while last[at] >= 0:
+        found[int(last[at])] = found.get(int(last[at]), 0) + 1
+        at -= int(sizes[last[at]])
     for k, n, w, better in reversed(steps):
         if at >= w and better[at - w]:
             found[k] = found.get(k, 0) + n
@@ -40,53 +64,82 @@ def price_out(value: np.ndarray, sizes: np.ndarray, most: np.ndarray, room: int)
     return found
 
 
-def plan(lengths: dict[int, int], room: int, rounds: int = 300, step: float = 0.3) -> list[tuple[int, dict[int, int]]]:
-    """(times, {length: count}) that hold the histogram ``lengths`` exactly. Works on the histogram alone."""
-    out: list[tuple[int, dict[int, int]]] = []
-    if lengths.get(room):
-        out.append((lengths[room], {room: 1}))
+def fill(sizes: np.ndarray, most: np.ndarray, room: int) -> dict[int, int]:
+    """Counts by position in ``sizes`` (ascending), ``most`` of each at most, that fill ``room`` as far as any choice does; large ones first."""
+    reach, every, steps = 1, (1 << (room + 1)) - 1, []  # bit c: some choice fills c
+    for k in np.flatnonzero((sizes <= room) & (most > 0))[::-1]:
+        left, unit = int(min(most[k], room // sizes[k])), 1
+        while left > 0:
+            n = min(unit, left)
+            steps.append((int(k), n, n * int(sizes[k]), reach))
+            reach |= (reach << n * int(sizes[k])) & every
+            left, unit = left - n, unit * 2
+        if reach >> room:
+            break
+    at, found = reach.bit_length() - 1, {}
+    for k, n, w, before in reversed(steps):
+        if not before >> at & 1:
+            found[k] = found.get(k, 0) + n
+            at -= w
+    return found
+
+
+def rest(sizes: np.ndarray, left: np.ndarray, room: int) -> Iterator[tuple[int, dict[int, int]]]:
+    """(times, counts by position) that hold all of ``left``: the largest piece and what fills its sequence best from all others, as often as these last."""
+    left = left.copy()
+    while left.any():
+        largest = int(np.flatnonzero(left)[-1])
+        left[largest] -= 1
+        config = fill(sizes, left, room - int(sizes[largest]))
+        left[largest] += 1
+        config[largest] = config.get(largest, 0) + 1
+        k, n = np.fromiter(config, int), np.fromiter(config.values(), np.int64)
+        times = int((left[k] // n).min())
+        left[k] -= times * n
+        yield times, config
+
+
+def plan(lengths: dict[int, int], room: int, rounds: int | None = None, step: float = 0.3, slack: float = 0.001) -> list[tuple[int, dict[int, int]]]:
+    """(times, {length: count}) that hold the histogram ``lengths`` exactly. Works on the histogram alone.
+
+    No plan has fewer sequences than ids / ``room`` or than pieces above half of it, nor than any prices of the program allow. Best fit alone
+    that comes within ``slack`` of such a bound stands; else the program is solved, and the better one of the two plans stands.
+    ``rounds``: two for each length, 300 at least, if None; a sequence holds one piece above half the room at most, so fewer leave lengths unserved.
+    """
+    whole = [(lengths[room], {room: 1})] if lengths.get(room) else []
     sizes = np.array(sorted(x for x, n in lengths.items() if n and x < room), np.int64)
     if not len(sizes):
-        return out
+        return whole
     demand = np.array([lengths[int(x)] for x in sizes], np.int64)
-    left = demand.copy()
+    named = lambda configs: whole + [(times, {int(sizes[k]): int(n) for k, n in config.items()}) for times, config in configs]
+    simple = list(rest(sizes, demand, room))
+    count = sum(times for times, _ in simple)
+    least = max(sizes @ demand / room, demand[2 * sizes > room].sum())
+    enough = lambda: count <= math.ceil(least - 1e-6) * (1 + slack)
     weight = sizes / room
     used: dict[tuple, float] = {}
     served = np.zeros(len(sizes))
-    for _ in range(rounds):
-        config = price_out(weight, sizes, left, room)
-        if not config:
-            break
+    for _ in range(max(300, 2 * len(sizes)) if rounds is None else rounds):
+        if enough():
+            return named(simple)
+        config = price_out(weight, sizes, demand, room)
         k, n = np.fromiter(config, int), np.fromiter(config.values(), float)
+        least = max(least, weight @ demand / (weight[k] @ n))
         used[tuple(sorted(config.items()))] = used.get(tuple(sorted(config.items())), 0.0) + (by := (demand[k] / n).min())
         share = by * n / demand[k]
         served[k] += share
         weight[k] *= 1 - step * np.minimum(1, share)
         weight /= weight.max()
     scale = max(1.0, served.min()) if (served > 0).all() else max(1.0, float(np.median(served)))
+    left, solved = demand.copy(), []
     for config, by in sorted(used.items(), key=lambda x: -x[1]):
         k, n = np.array([x for x, _ in config]), np.array([x for _, x in config])
         times = int(min(by / scale, (left[k] // n).min()))
         if times > 0:
             left[k] -= times * n
-            out.append((times, {int(sizes[i]): int(c) for i, c in config}))
-    # The rest: fill one sequence after another by the exact knapsack while many are left, each repeated as often as it fits.
-    while left.sum():
-        some = left > 0
-        config = price_out(sizes[some].astype(float) + 1e-6 * sizes[some] ** 2 / room, sizes[some], left[some], room)
-        where = np.flatnonzero(some)
-        k, n = where[np.fromiter(config, int)], np.fromiter(config.values(), np.int64)
-        largest = where[-1]
-        if largest not in k:  # the largest goes first, so that the end does not consist of large ones only
-            fill = left.copy()
-            fill[largest] -= 1
-            inner = price_out(sizes.astype(float), sizes, fill, room - int(sizes[largest]))
-            inner[largest] = inner.get(largest, 0) + 1
-            k, n = np.fromiter(inner, int), np.fromiter(inner.values(), np.int64)
-        times = int((left[k] // n).min())
-        left[k] -= times * n
-        out.append((times, {int(sizes[i]): int(c) for i, c in zip(k, n, strict=True)}))
-    return out
+            solved.append((times, dict(config)))
+    solved += rest(sizes, left, room)
+    return named(min(solved, simple, key=lambda configs: sum(times for times, _ in configs)))
 
 
 def places(configs: list[tuple[int, dict[int, int]]]) -> dict[int, dict[str, np.ndarray]]:
