@@ -10,17 +10,28 @@ from parcelkit.llm.common import table, written
 from parcelkit.llm.queries import tokenizer
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with _row, a number of its own for each row, written once so that it stays."""
+    return written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier samples. Rows with one id (null too) go together."""
-    told = quality.importance_sample(docs, table(spark, sf_dir, "labels"))
-    refused = told.where("not kept").select("doc_id").distinct()
-    return docs.join(refused.hint("shuffle_hash"), docs.doc_id.eqNullSafe(refused.doc_id), "left_anti")
+    """Documents that the quality classifier samples; each row by itself, also where ids repeat or are null."""
+    rows = keyed(docs)
+    told = quality.importance_sample(rows, table(spark, sf_dir, "labels"), row_col="_row")
+    return rows.join(told.where("kept").select("_row").hint("shuffle_hash"), "_row", "left_semi").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, 0.8 or more). Of rows with one id and text one stays."""
-    found = minhash.near_duplicates(docs, width=5).where("not kept").select("doc_id").distinct()
-    return docs.join(found.hint("shuffle_hash"), docs.doc_id.eqNullSafe(found.doc_id), "left_anti").dropDuplicates(["doc_id", "text"])
+    """One document of each group of near copies (five words, 0.8 or more), that of the smallest id (null last, then by a hash of the row).
+
+    Each row is a document, also where ids repeat or are null. Texts without words are copies of nothing; of rows equal in all columns one stays.
+    """
+    rows = keyed(docs.dropDuplicates())
+    order = rows.select("_row", F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*docs.columns), "_row").alias("order"))
+    found = minhash.near_duplicates(rows, width=5, id_col="_row").join(order, "_row")
+    first = found.groupBy("component_id").agg(F.min("order")["_row"].alias("_row"))
+    return rows.join(first.select("_row").hint("shuffle_hash"), "_row", "left_semi").select(*docs.columns)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

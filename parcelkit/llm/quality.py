@@ -76,13 +76,14 @@ def kth_largest(df: DataFrame, column: str, k: int) -> float | None:
     return sorted((r[0] for r in rows.select(column).collect()), reverse=True)[k - 1]
 
 
-def importance_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", good=None) -> DataFrame:
+def importance_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", good=None, row_col: str | None = None) -> DataFrame:
     """Rows (id_col, quality_weight, tone_weight, weight, score, kept), one per row of ``docs``.
 
     ``good``: a condition on ``labels``, by default quality = 1 and toxic = 0; a null condition is false. Ids labelled more than once are good
     only if all their rows are. Null and empty texts, and texts without a word, have no n-grams: weights 0, kept as
     borderline text with weight 0 is. Without labelled target documents nothing can be told apart: all weights are 0 and all
     rows kept. Repeated rows score alike; rows that tie at the last place all stay. Null ids are scored, never labelled.
+    ``row_col``: a column that comes back with its row, so that rows of one id can be told apart.
     Raw counts cover all documents; the labelled sample is bounded by LABELLED_ROWS, a third of it calibrates.
     """
     spark = docs.sparkSession
@@ -90,8 +91,9 @@ def importance_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id"
     known = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(F.coalesce(good, F.lit(False)).cast("int")).alias("good"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(LABELLED_ROWS).withColumn("part", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(3)).cast("int"))
     known = F.broadcast(written(known, "labelled"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(known, "id", "left")
-    rows = rows.select("id", "text", (F.coalesce("good", F.lit(0)) == 1).alias("good"), (F.col("part") == 0).alias("held"))
+    row = ["row"] if row_col else []
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(row_col).alias(c) for c in row]).join(known, "id", "left")
+    rows = rows.select("id", *row, "text", (F.coalesce("good", F.lit(0)) == 1).alias("good"), (F.col("part") == 0).alias("held"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros((2, 2, BUCKETS), np.int64)
@@ -127,17 +129,18 @@ def importance_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id"
                 for f, (bucket, first) in enumerate(_grams(data, offsets)):
                     w[f].append(_sums(sent.value[f][bucket], first) / np.sqrt(np.maximum(1, np.diff(first))))
             w = [np.concatenate(x) if x else np.zeros(0) for x in w]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(w[0]), pa.array(w[1]), batch.column("good"), batch.column("held")], ["id", "w0", "w1", "good", "held"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, ["id", *row]), pa.array(w[0]), pa.array(w[1]), batch.column("good"), batch.column("held")], ["id", *row, "w0", "w1", "good", "held"])
 
-    weighed = written(rows.mapInArrow(weigh, f"id {dict(docs.dtypes)[id_col]}, w0 double, w1 double, good boolean, held boolean"), "weights")
+    kinds = ", ".join(f"{c} {dict(docs.dtypes)[x]}" for c, x in zip(["id", *row], [id_col, row_col], strict=False))
+    weighed = written(rows.mapInArrow(weigh, f"{kinds}, w0 double, w1 double, good boolean, held boolean"), "weights")
     marks = weighed.where("good and held").select(*[F.percentile(f"w{f}", F.lit(q)).alias(f"q{f}{n}") for f in (0, 1) for n, q in (("lo", SPARE), ("mid", 0.5))]).head()
     level = lambda f: (F.col(f"w{f}") - F.lit(marks[f"q{f}lo"])) / F.lit(max(marks[f"q{f}mid"] - marks[f"q{f}lo"], 1e-9))
     ready = trained and marks["q0lo"] is not None
     weight = F.least(level(0), level(1)) if ready else F.lit(0.0)
     u = (F.pmod(F.xxhash64(F.lit("gumbel"), F.col("id")), F.lit(2**52)) + 0.5) / float(2**52)
-    scored = weighed.select("id", F.col("w0").alias("quality_weight"), F.col("w1").alias("tone_weight"), F.when((F.col("w0") == 0) & (F.col("w1") == 0), F.lit(0.0)).otherwise(weight).alias("weight"), u.alias("u"))
+    scored = weighed.select("id", *row, F.col("w0").alias("quality_weight"), F.col("w1").alias("tone_weight"), F.when((F.col("w0") == 0) & (F.col("w1") == 0), F.lit(0.0)).otherwise(weight).alias("weight"), u.alias("u"))
     scored = scored.withColumn("score", F.col("weight") - NOISE * F.log(-F.log("u"))).drop("u")
     k = scored.where("weight >= 0").count()
     last = kth_largest(scored, "score", k)
     kept = F.col("score") >= F.lit(-math.inf if last is None or not ready else last)
-    return scored.select(F.col("id").alias(id_col), "quality_weight", "tone_weight", "weight", "score", kept.alias("kept"))
+    return scored.select(F.col("id").alias(id_col), *[F.col(c).alias(row_col) for c in row], "quality_weight", "tone_weight", "weight", "score", kept.alias("kept"))
