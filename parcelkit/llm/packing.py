@@ -2,10 +2,10 @@
 
 Only the histogram of lengths matters: at most ``room`` numbers, whatever the number of pieces. A configuration says
 how many pieces of each length share a sequence. The program asks for the least total of configurations that covers
-the histogram; multiplicative weights give every length a price, a knapsack dynamic program finds the configuration
-that is worth most, and weights of well-served lengths fall. The fractional plan is rounded down, what is left is put
-by best fit into one more list of configurations, and pieces are dealt to the places by their rank within their length.
-Where best fit alone reaches the program's bound (full histograms mostly), the program need not be solved to its end.
+the histogram, and is solved by multiplicative weights: every length has a price, a knapsack dynamic program finds for every
+large length (and for a sequence without one) what is worth most beside it, all configurations that come close to the best value are used a
+little, and prices fall as lengths are served. The fractional plan is rounded, as long as configurations waste no more than the program's
+bound allows, and what rounding leaves is a smaller program of its own, a few times. The last pieces are put by best fit.
 """
 
 from __future__ import annotations
@@ -21,47 +21,66 @@ from pyspark.sql import functions as F
 from .common import written
 
 
-def price_out(value: np.ndarray, sizes: np.ndarray, most: np.ndarray, room: int) -> dict[int, int]:
-    """Counts by position in ``sizes`` (ascending) of a most valuable knapsack of ``room``, ``most`` of each at most, all lengths considered."""
-    best, steps = np.zeros(room + 1), []
-    small, large = np.flatnonzero((sizes <= room // 2) & (most > 0)), np.flatnonzero((sizes > room // 2) & (most > 0))
-    scarce = most[small] < room // sizes[small]
-    for k in small[scarce]:  # in powers of two; those that no sequence can exhaust come after them, one capacity after another
-        left, unit = int(most[k]), 1
-        while left > 0:
-            n = min(unit, left)
-            w = n * int(sizes[k])
-            more = best[: room + 1 - w] + n * value[k]
-            better = more > best[w:]
-            best[w:] = np.where(better, more, best[w:])
-            steps.append((int(k), n, w, better))
-            left, unit = left - n, unit * 2
-    plenty, last = small[~scarce], np.full(room + 1, -1)
-    if len(plenty):
-        worth, where, end = np.full(room // 2, -np.inf), np.zeros(room // 2, int), int(sizes[plenty[-1]])
-        worth[sizes[plenty] - 1], where[sizes[plenty] - 1] = value[plenty], plenty
-        back = best[::-1].copy()  # best[c - 1], best[c - 2], ... stand behind each other
-        for c in range(int(sizes[plenty[0]]), room + 1):
-            m = min(c, end)
-            more = worth[:m] + back[room - c + 1 : room - c + 1 + m]
-            j = int(more.argmax())
-            if more[j] > back[room - c]:
-                back[room - c], last[c] = more[j], where[j]
-        best = back[::-1]
-    at, found = room, {}
-    if len(large):  # one at most
-        more = value[large] + best[room - sizes[large]]
-        j = int(more.argmax())
-        if more[j] > best[room]:
-            at, found = room - int(sizes[large[j]]), {int(large[j]): 1}
-    while last[at] >= 0:
-        found[int(last[at])] = found.get(int(last[at]), 0) + 1
-        at -= int(sizes[last[at]])
-    for k, n, w, better in reversed(steps):
-        if at >= w and better[at - w]:
-            found[k] = found.get(k, 0) + n
-            at -= w
-    return found
+def prices(value: np.ndarray, sizes: np.ndarray, room: int, noise: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each capacity up to ``room`` what a knapsack of any numbers of ``sizes`` (ascending) is worth, and its last size (position; -1 empty, -2 as one less).
+
+    ``noise`` (numbers that shift the choice at each capacity, not the worth) makes choices of nearly equal worth vary from capacity to capacity.
+    """
+    best, last = np.zeros(room + 1), np.full(room + 1, -1)
+    if not len(sizes):
+        return best, last
+    end = int(sizes[-1])
+    worth, where = np.full(end, -np.inf), np.zeros(end, int)
+    worth[end - sizes], where[end - sizes] = value, np.arange(len(sizes))  # the largest size first: it wins ties
+    for c in range(int(sizes[0]), room + 1):
+        m = min(c, end)
+        more = worth[end - m :] + best[c - m : c]
+        at = (c * 7919) % (len(noise) - m) if noise is not None else 0
+        j = int((more if noise is None else more + noise[at : at + m]).argmax())
+        best[c], last[c] = (more[j], where[end - m + j]) if more[j] > best[c - 1] else (best[c - 1], min(-2, last[c - 1]) if last[c - 1] == -1 else -2)
+        if best[c] == 0:
+            last[c] = -1
+    return best, last
+
+
+def solve(sizes: np.ndarray, demand: np.ndarray, room: int, rounds: int = 24, step: float = 0.1, rate: float = 0.2, near: float = 0.05, seed: int = 0) -> tuple[dict[tuple, float], np.ndarray, float]:
+    """({configuration: times}, how often each length is served, lower bound of the program) by multiplicative weights."""
+    rng = np.random.default_rng(seed)
+    small, large = np.flatnonzero(sizes <= room // 2), np.flatnonzero(sizes > room // 2)
+    weight, served, used = sizes / room, np.zeros(len(sizes)), {}
+    least = max(sizes @ demand / room, demand[large].sum())
+    for r in range(rounds):
+        if r % 8 == 0:  # no plan is shorter than what the pieces are worth at prices that let no sequence be worth more than 1
+            best, _ = prices(weight[small], sizes[small], room)
+            least = max(least, weight @ demand / max([best[room], *(weight[large] + best[room - sizes[large]])]))
+        best, last = prices(weight[small], sizes[small], room, 0.01 * 0.97**r * rng.random(3 * room))
+        value = np.append(weight[large] + best[room - sizes[large]], best[room])
+        configs = []
+        for k in np.flatnonzero(value >= (1 - near) * value.max()):
+            config, at = ({int(large[k]): 1}, room - int(sizes[large[k]])) if k < len(large) else ({}, room)
+            while at > 0 and last[at] != -1:
+                i = int(small[last[at]]) if last[at] >= 0 else -1
+                if i < 0 or config.get(i, 0) >= demand[i]:
+                    at -= 1
+                else:
+                    config[i], at = config.get(i, 0) + 1, at - int(sizes[i])
+            configs.append(config)
+        of = np.repeat(np.arange(len(configs)), [len(c) for c in configs])
+        i, n = np.concatenate([np.fromiter(c, int) for c in configs]), np.concatenate([np.fromiter(c.values(), float) for c in configs])
+        times, over = np.full(len(configs), np.inf), np.ones(len(configs))
+        np.minimum.at(times, of, step * demand[i] / n)
+        np.maximum.at(over, of, np.bincount(i, n * times[of] / demand[i], len(sizes))[i] / step)  # so no length is served by more than step
+        times /= over
+        load = np.bincount(i, n * times[of] / demand[i], len(sizes))
+        for c, by in zip(configs, times, strict=True):
+            key = tuple(sorted(c.items()))
+            used[key] = used.get(key, 0.0) + by
+        served += load
+        weight = weight * np.exp(-rate * load / step)
+        weight /= weight.max()
+        if served.min() >= 1:
+            break
+    return used, served, float(least)
 
 
 def fill(sizes: np.ndarray, most: np.ndarray, room: int) -> dict[int, int]:
@@ -99,47 +118,41 @@ def rest(sizes: np.ndarray, left: np.ndarray, room: int) -> Iterator[tuple[int,
         yield times, config
 
 
-def plan(lengths: dict[int, int], room: int, rounds: int | None = None, step: float = 0.3, slack: float = 0.001) -> list[tuple[int, dict[int, int]]]:
-    """(times, {length: count}) that hold the histogram ``lengths`` exactly. Works on the histogram alone.
+def plan(lengths: dict[int, int], room: int, phases: int = 4, slack: float = 0.001) -> tuple[list[tuple[int, dict[int, int]]], dict[str, float]]:
+    """(times, {length: count}) that hold the histogram ``lengths`` exactly, and a report. Works on the histogram alone.
 
-    No plan has fewer sequences than ids / ``room`` or than pieces above half of it, nor than any prices of the program allow. Best fit alone
-    that comes within ``slack`` of such a bound stands; else the program is solved, and the better one of the two plans stands.
-    ``rounds``: two for each length, 300 at least, if None; a sequence holds one piece above half the room at most, so fewer leave lengths unserved.
+    Each phase solves the program for what is left and rounds it; what rounding leaves goes by best fit, which needs some pieces to choose from, so phases
+    end before they would lengthen the plan, or when one places less than a tenth of what is left.
+    The report: ``sequences``, ``bound`` (no plan has fewer), ``solved`` (share of pieces that the program places, full ones among them).
     """
+    total = lambda configs: sum(times for times, _ in configs)
     whole = [(lengths[room], {room: 1})] if lengths.get(room) else []
     sizes = np.array(sorted(x for x, n in lengths.items() if n and x < room), np.int64)
-    if not len(sizes):
-        return whole
     demand = np.array([lengths[int(x)] for x in sizes], np.int64)
-    named = lambda configs: whole + [(times, {int(sizes[k]): int(n) for k, n in config.items()}) for times, config in configs]
-    simple = list(rest(sizes, demand, room))
-    count = sum(times for times, _ in simple)
-    least = max(sizes @ demand / room, demand[2 * sizes > room].sum())
-    enough = lambda: count <= math.ceil(least - 1e-6) * (1 + slack)
-    weight = sizes / room
-    used: dict[tuple, float] = {}
-    served = np.zeros(len(sizes))
-    for _ in range(max(300, 2 * len(sizes)) if rounds is None else rounds):
-        if enough():
-            return named(simple)
-        config = price_out(weight, sizes, demand, room)
-        k, n = np.fromiter(config, int), np.fromiter(config.values(), float)
-        least = max(least, weight @ demand / (weight[k] @ n))
-        used[tuple(sorted(config.items()))] = used.get(tuple(sorted(config.items())), 0.0) + (by := (demand[k] / n).min())
-        share = by * n / demand[k]
-        served[k] += share
-        weight[k] *= 1 - step * np.minimum(1, share)
-        weight /= weight.max()
-    scale = max(1.0, served.min()) if (served > 0).all() else max(1.0, float(np.median(served)))
-    left, solved = demand.copy(), []
-    for config, by in sorted(used.items(), key=lambda x: -x[1]):
-        k, n = np.array([x for x, _ in config]), np.array([x for _, x in config])
-        times = int(min(by / scale, (left[k] // n).min()))
-        if times > 0:
-            left[k] -= times * n
-            solved.append((times, dict(config)))
-    solved += rest(sizes, left, room)
-    return named(min(solved, simple, key=lambda configs: sum(times for times, _ in configs)))
+    left, solved, bound = demand.copy(), [], 0.0
+    best, by_program = list(rest(sizes, demand, room)), 0
+    for phase in range(phases):
+        on = np.flatnonzero(left)
+        if not len(on):
+            break
+        used, served, least = solve(sizes[on], left[on], room, seed=phase)
+        bound, before = max(bound, least) if phase == 0 else bound, left.sum()
+        scale, full = max(1e-9, float(np.median(served))), (1 - slack) * min(room, sizes[on] @ left[on] / least)
+        for config, by in sorted(used.items(), key=lambda x: (-x[1], x[0])):
+            k, n = on[[x for x, _ in config]], np.array([x for _, x in config])
+            times = int(min(math.ceil(by / scale - 0.5), (left[k] // n).min()))
+            if times > 0 and sizes[k] @ n >= full:
+                left[k] -= times * n
+                solved.append((times, dict(zip(k.tolist(), n.tolist(), strict=True))))
+        now = solved + list(rest(sizes, left, room))
+        if total(now) > total(best):
+            break
+        best, by_program = now, (demand - left).sum()
+        if before - left.sum() < 0.1 * before:
+            break
+    full = sum(n for n, _ in whole)
+    report = {"sequences": total(best) + full, "bound": math.ceil(bound - 1e-6) + full, "solved": float((by_program + full) / max(1, demand.sum() + full))}
+    return whole + [(times, {int(sizes[k]): int(n) for k, n in config.items()}) for times, config in best], report
 
 
 def places(configs: list[tuple[int, dict[int, int]]]) -> dict[int, dict[str, np.ndarray]]:
@@ -157,23 +170,27 @@ def places(configs: list[tuple[int, dict[int, int]]]) -> dict[int, dict[str, np.
     return {size: dict(zip(("rank", "sequence", "n", "offset"), np.array(x, np.int64).T, strict=True)) for size, x in runs.items()}
 
 
-def pack(df: DataFrame, room: int = 2048, length: str = "length", salts: int = 64, key: list[str] | None = None) -> DataFrame:
+def pack(df: DataFrame, room: int = 2048, length: str = "length", group_rows: int = 50_000, key: list[str] | None = None) -> DataFrame:
     """``df`` with sequence_id and offset: pieces with ``length`` from 1 to ``room`` in as few sequences as the plan finds.
 
     ``key``: the columns that order equal lengths (all columns if None); rows alike in them may change places, which changes nothing.
-    Pieces of a length are ranked in ``salts`` groups each, so a length that most rows have is no single task. Only the
-    histogram (``room`` numbers) and the counts by length and group come to the driver or are broadcast. An empty table gives
-    an empty result. Lengths outside 1 to ``room``, null among them, are an error.
+    Pieces of a length are ranked in groups of about ``group_rows``, by a hash of the key, so a length that most rows have is no single task. Only the
+    histogram (``room`` numbers) comes to the driver and only the plan made from it is broadcast. An empty table gives
+    an empty result. Lengths outside 1 to ``room``, null among them, are an error. Columns named sequence_id and offset are replaced.
     """
-    rows = written(df.withColumn("_salt", F.pmod(F.xxhash64(*(key or df.columns)), F.lit(salts)).cast("int")), "pieces")
-    counts = rows.groupBy(length, "_salt").count()
-    per = counts.groupBy(length).agg(F.sum("count").alias("n")).collect()  # one row for each length
-    if any(r[length] is None or not 1 <= r[length] <= room for r in per):
+    df = df.drop("sequence_id", "offset")
+    rows = written(df.withColumn("_salt", F.pmod(F.xxhash64(*(key or df.columns)), F.lit(2**31)).cast("int")), "pieces")
+    per = {r[0]: r[1] for r in rows.groupBy(length).agg(F.count("*")).collect()}  # one row for each length
+    if any(x is None or not 1 <= x <= room for x in per):
         raise ValueError(f"a length is not between 1 and {room}")
-    where = df.sparkSession.sparkContext.broadcast(places(plan({int(r[length]): int(r["n"]) for r in per}, room)))
-    first = counts.withColumn("_first", F.coalesce(F.sum("count").over(Window.partitionBy(length).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
+    where = df.sparkSession.sparkContext.broadcast(places(plan({int(x): int(n) for x, n in per.items()}, room)[0]))
+    groups = F.array(*[F.lit(-(-per.get(x, 0) // group_rows) or 1) for x in range(1, room + 1)])
+    rows = rows.withColumn("_salt", F.col("_salt") % F.get(groups, F.col(length).cast("int") - 1))
+    counts = rows.groupBy(length, "_salt").agg(F.count("*").alias("_n"))
+    first = counts.select(length, "_salt", F.coalesce(F.sum("_n").over(Window.partitionBy(length).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
     rank = F.row_number().over(Window.partitionBy(length, "_salt").orderBy(*(key or df.columns)))
-    ranked = rows.withColumn("_in", rank).join(F.broadcast(first), [length, "_salt"]).withColumn("_rank", F.col("_first") + F.col("_in") - 1).drop("_first", "_in", "_salt")
+    # the join deals rows out as the ranks do
+    ranked = rows.withColumn("_in", rank).join(first.hint("shuffle_hash"), [length, "_salt"]).withColumn("_rank", F.col("_first") + F.col("_in") - 1).drop("_first", "_in", "_salt")
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -1,10 +1,12 @@
 """The packing plan on full histograms of lengths, against the least possible number of sequences."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parcelkit.llm import packing
+from parcelkit.llm import packing, queries, tokens
 
 ROOM = 2048
 DRAWN = np.clip(np.random.default_rng(0).lognormal(6.2, 0.9, 100_000), 1, ROOM).astype(int)
@@ -20,31 +22,54 @@ def test_full_histogram(name):
     lengths = HISTOGRAMS[name]
     assert sum(s > ROOM // 2 for s in lengths) > 700
     got, n = dict.fromkeys(lengths, 0), 0
-    for times, config in packing.plan(lengths, ROOM):
+    configs, report = packing.plan(lengths, ROOM)
+    for times, config in configs:
         assert times > 0 and sum(s * c for s, c in config.items()) <= ROOM
         n += times
         for s, c in config.items():
             got[s] += times * c
     assert got == lengths
     least = max(-(-sum(s * c for s, c in lengths.items()) // ROOM), sum(c for s, c in lengths.items() if s > ROOM // 2))
-    assert least <= n <= 1.001 * least
+    assert least <= n == report["sequences"] <= 1.001 * least and report["bound"] == least
 
 
-def test_prices_of_all_lengths():
-    """Against the plain dynamic program, one piece at a time."""
+def test_prices():
+    """Against the plain dynamic program, one piece at a time; the choices say what they are worth."""
     rng = np.random.default_rng(1)
     for _ in range(20):
         room = int(rng.integers(20, 60))
         sizes = np.flatnonzero(rng.random(room - 1) < 0.5) + 1
-        value, most = rng.random(len(sizes)), rng.integers(0, 5, len(sizes))
-        best = np.zeros(room + 1)
-        for s, v, m in zip(sizes, value, most, strict=True):
-            for _ in range(m):
-                best[s:] = np.maximum(best[s:], best[: room + 1 - s] + v)
-        found = packing.price_out(value, sizes, most, room)
-        assert all(n <= most[k] for k, n in found.items())
-        assert sum(n * sizes[k] for k, n in found.items()) <= room
-        assert sum(n * value[k] for k, n in found.items()) == pytest.approx(best[room])
+        value = rng.random(len(sizes))
+        want = np.zeros(room + 1)
+        for c in range(1, room + 1):
+            want[c] = max([want[c - 1], *(want[c - s] + v for s, v in zip(sizes, value, strict=True) if s <= c)])
+        best, last = packing.prices(value, sizes, room)
+        assert best == pytest.approx(want)
+        at, worth = room, 0.0
+        while at > 0 and last[at] != -1:
+            worth, at = (worth + value[last[at]], at - sizes[last[at]]) if last[at] >= 0 else (worth, at - 1)
+        assert worth == pytest.approx(best[room])
+
+
+def test_program_bound():
+    """Where large pieces waste room, the program's own bound tells: 300 of 1100 take one of 700 each, 300 more go in pairs."""
+    configs, report = packing.plan({1100: 300, 700: 600}, ROOM)
+    assert report["sequences"] == sum(t for t, _ in configs) == 450 and 430 <= report["bound"] <= 450
+    assert packing.plan({700: 999}, ROOM)[1]["sequences"] == 500
+    assert packing.plan({}, ROOM) == ([], {"sequences": 0, "bound": 0, "solved": 0.0})
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_documents(spark, sf):
+    """The registered query's number of sequences against the least possible, the share that the program places, and its time on the driver."""
+    rows = tokens.pieces(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"), queries.tokenizer())
+    per = {r.length: r.n for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    began = time.process_time()
+    _, report = packing.plan(per, ROOM)
+    took = time.process_time() - began
+    print(sf, report, f"{took:.1f} s")
+    assert report["sequences"] <= -(-sum(s * n for s, n in per.items()) // ROOM) + 1 + report["bound"] // 1000
+    assert report["solved"] >= 0.5 and took < 10
 
 
 def test_packed_rows(spark):
