@@ -32,13 +32,6 @@ def test_op2(spark, texts):
     assert n <= least + 1
 
 
-def test_op3_keeps_clean_and_drops_bad(spark):
-    got = q.op3_quality_classifier(spark, "/root/testdata/check_s").join(spark.read.parquet("/root/testdata/check_s/labels.parquet"), "doc_id").collect()
-    clean = [r.kept for r in got if r.quality == 1 and not r.toxic]
-    bad = [r.kept for r in got if r.quality == 0 or r.toxic]
-    assert sum(clean) >= 0.98 * len(clean) and sum(bad) <= 0.1 * len(bad)
-
-
 def test_op4(spark, texts):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in q.op4_minhash_near_dedup(spark, SF).collect()}
     assert got == brute.near_copies(texts)
