@@ -2,13 +2,15 @@
 
 A repeat of ``length`` bytes is found from sampled suffixes: every window of ``length`` bytes names one anchor, the
 place where its smallest hash of ANCHOR bytes begins (the leftmost one). Equal windows name the same anchor at the same
-distance, so only suffixes that start at anchors are kept, about two in ``length - ANCHOR``. A suffix array here is a table of
-such suffixes ordered by the hash of their first ANCHOR bytes, with the hash of all bytes that the anchor's own windows span.
-
-New documents come in batches. A batch's array is scanned together with the arrays of the levels there are, in suffix
-order; arrays of one size are merged into the next level, so there are logarithmically many. In a scan, suffixes whose
-spans are equal repeat throughout. Where only the anchor is equal, one suffix of each kind goes to a second look, which
-compares all windows of the span.
+distance, so only suffixes that start at anchors are kept, about two in ``length - ANCHOR``. A suffix array here is sparse: a written table of
+such suffixes, range-partitioned and sorted by their first eight bytes, then by the hash of their first ANCHOR bytes, then by the
+hash of all bytes that the anchor's own windows span. Place comes last in the order, so however common a suffix is, it is cut between partitions.
+
+New documents come in batches (:class:`SuffixIndex`). A batch gets its array, which is merge-scanned against the arrays of all levels;
+then it becomes a level itself, and levels of equal size merge into one sorted table of twice the size, so there are logarithmically
+many. In a scan, suffixes whose spans are equal repeat throughout. Where only the anchor is equal, one suffix of each kind goes to
+a second look, which compares all windows of the span. Nothing in a scan gathers a suffix's occurrences in one task: counts are
+aggregated before they are shuffled, and what they say is joined back, where Spark splits what is too large.
 """
 
 from __future__ import annotations
@@ -18,21 +20,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import texthash as th
 from .common import forget, written
 
-#: Bytes of a suffix that order it; suffixes of one anchor from which on windows are compared by a shuffle of their own.
-ANCHOR, MANY = 24, 20_000
+#: Bytes of a suffix that order it; kinds of one anchor from which on windows are compared by a shuffle of their own.
+ANCHOR, MANY = 24, 4096
+#: Columns: what orders suffixes, what tells kinds of them apart.
+KEY = ["head", "anchor"]
+KIND = [*KEY, "span", "lo", "hi"]
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(document, anchor hash, span hash, place, first and last window start against the place) of every anchor."""
+    """(document, first eight bytes as a number that sorts like them, anchor hash, span hash, place, first and last window start against the place) of every anchor."""
+    none = tuple(np.zeros(0, np.int64) for _ in range(7))
     n, w = len(data), length - ANCHOR + 1
     if n < length:
-        return tuple(np.zeros(0, np.int64) for _ in range(6))
+        return none
     hashed = th.Hashed(data)
     start = np.arange(n - ANCHOR + 1)
     grams = hashed(start, start + ANCHOR)
@@ -47,13 +53,14 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     doc = np.searchsorted(offsets, windows, "right") - 1
     windows = windows[windows + length <= offsets[doc + 1]]
     if not len(windows):
-        return tuple(np.zeros(0, np.int64) for _ in range(6))
+        return none
     place = (of[windows] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     cut = np.flatnonzero(np.diff(place)) + 1
     lo, hi = windows[np.concatenate([[0], cut])], windows[np.concatenate([cut - 1, [len(windows) - 1]])]
     place = place[np.concatenate([[0], cut])]
     doc = np.searchsorted(offsets, lo, "right") - 1
-    return doc, grams[place].view(np.int64), hashed(lo, hi + length).view(np.int64), place - offsets[doc], lo - place, hi - place
+    head = (np.ascontiguousarray(data[place[:, None] + np.arange(8)]).view(">u8").ravel().astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
+    return doc, head, grams[place].view(np.int64), hashed(lo, hi + length).view(np.int64), place - offsets[doc], lo - place, hi - place
 
 
 def _suffixes(length: int):
@@ -61,8 +68,10 @@ def _suffixes(length: int):
         for batch in batches:
             keys = np.asarray(batch.column("k"))
             for at, data, offsets in th.buffers(batch.column("text")):
-                doc, anchor, span, place, lo, hi = anchors(data, offsets, length)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, span, keys[at][doc], place.astype(np.int32), lo.astype(np.int16), hi.astype(np.int16))], ["anchor", "span", "k", "at", "lo", "hi"])
+                doc, head, anchor, span, place, lo, hi = anchors(data, offsets, length)
+                size = np.diff(offsets)[doc]
+                columns = (head, anchor, span, keys[at][doc], size, place, lo.astype(np.int16), hi.astype(np.int16))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["head", "anchor", "span", "k", "size", "at", "lo", "hi"])
 
     return run
 
@@ -72,15 +81,16 @@ def _contexts(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: dict[str, list] = {n: [] for n in ("anchor", "k", "at", "lo", "hi", "many", "bytes")}
+            rows: dict[str, list] = {n: [] for n in ("anchor", "k", "size", "at", "lo", "hi", "many", "bytes")}
             for k, text, looks in zip(batch.column("k").to_pylist(), batch.column("text"), batch.column("looks").to_pylist(), strict=True):
                 data = text.as_py().encode() if text.is_valid else b""
                 for x in looks:
                     for name in ("anchor", "at", "lo", "hi", "many"):
                         rows[name].append(x[name])
                     rows["k"].append(k)
+                    rows["size"].append(len(data))
                     rows["bytes"].append(data[x["at"] + x["lo"] : x["at"] + x["hi"] + length])
-            types = {"anchor": pa.int64(), "k": pa.int64(), "at": pa.int32(), "lo": pa.int16(), "hi": pa.int16(), "many": pa.bool_(), "bytes": pa.binary()}
+            types = {"anchor": pa.int64(), "k": pa.int64(), "size": pa.int64(), "at": pa.int64(), "lo": pa.int16(), "hi": pa.int16(), "many": pa.bool_(), "bytes": pa.binary()}
             yield pa.RecordBatch.from_arrays([pa.array(rows[n], t) for n, t in types.items()], list(types))
 
     return run
@@ -107,11 +117,11 @@ def _compare(length: int):
         key = th.mix(th.mix(anchor.view(np.uint64) + step.astype(np.uint64)) ^ h)
         _, which, times = np.unique(key, return_inverse=True, return_counts=True)
         some = times[which] > 1
-        k, at = np.asarray(t.column("k")), np.asarray(t.column("at")).astype(np.int64)
+        k, size, at = (np.asarray(t.column(n)) for n in ("k", "size", "at"))
         row, place = row[some], (at[row] + step)[some]
         cut = np.flatnonzero((np.diff(row) != 0) | (np.diff(place) != 1)) + 1
         a, b = (np.concatenate([[0], cut]), np.concatenate([cut - 1, [len(row) - 1]])) if len(row) else (row, row)
-        return pa.RecordBatch.from_arrays([pa.array(k[row[a]]), pa.array(place[a].astype(np.int32)), pa.array(place[b].astype(np.int32))], ["k", "first", "last"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (k[row[a]], size[row[a]], place[a], place[b])], ["k", "size", "first", "last"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -136,58 +146,101 @@ def _exploded(length: int):
         for batch in batches:
             if len(batch):
                 row, anchor, step, h = _windows(batch, length)
-                place = (np.asarray(batch.column("at")).astype(np.int64)[row] + step).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(step), pa.array(h.view(np.int64)), pa.array(np.asarray(batch.column("k"))[row]), pa.array(place)], ["anchor", "step", "h", "k", "first"])
+                k, size, at = (np.asarray(batch.column(n))[row] for n in ("k", "size", "at"))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, step, h.view(np.int64), k, size, at + step)], ["anchor", "step", "h", "k", "size", "first"])
 
     return run
 
 
-def scan(batch: DataFrame, levels: list[DataFrame]) -> DataFrame:
-    """Merge-scan: the suffixes of ``batch`` and of all ``levels`` in suffix order, where an anchor of the batch occurs twice.
+def array(suffixes: DataFrame) -> DataFrame:
+    """The suffixes as a written suffix array: range-partitioned and sorted, equal ones by place."""
+    order = [*KEY, "span", "k", "at"]
+    return written(suffixes.repartitionByRange(*order).sortWithinPartitions(*order), "array")
 
-    ``whole``: the span occurs elsewhere as a whole; ``look``: one suffix of each kind of an anchor that needs the second look.
-    """
-    rows = batch.withColumn("new", F.lit(True))
-    for level in levels:
-        rows = rows.union(level.withColumn("new", F.lit(False)))
-    by = Window.partitionBy("anchor").orderBy("span", "lo", "hi").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    kind = Window.partitionBy("anchor", "span", "lo", "hi")
-    rows = rows.withColumn("n", F.count("*").over(by)).withColumn("fresh", F.max("new").over(by)).where("n > 1 and fresh")
-    rows = rows.withColumn("same", F.count("*").over(kind)).withColumn("nth", F.row_number().over(kind.orderBy("k", "at")))
-    rows = rows.withColumn("odd", F.min("same").over(Window.partitionBy("anchor")) == 1)
-    rows = rows.withColumn("whole", F.col("same") > 1).withColumn("look", F.col("odd") & (F.col("nth") == 1))
-    return rows.where("whole or look").select("anchor", "span", "k", "at", "lo", "hi", "whole", "look")
 
+class SuffixIndex:
+    """Suffix arrays of all batches so far: ``levels``, each (batches, array), sizes falling and no two alike."""
+
+    def __init__(self, length: int = 200) -> None:
+        self.length, self.levels = length, []
+
+    def add(self, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Take in a batch of (k, text), k telling texts apart together with their size in bytes; what it repeats of itself and of the levels.
 
-def repeated_windows(docs: DataFrame, key: str, text: str, length: int = 200, batches: int = 4) -> DataFrame:
-    """(key, runs): for each document with repeats the array of (first, last) starts of windows that occur elsewhere."""
+        Rows (k, size, first, last): runs of windows that repeat, in the batch or the levels; and the kinds (KIND, k, size, at of one suffix) that need the second look.
+        """
+        found = written(texts.mapInArrow(_suffixes(self.length), "head long, anchor long, span long, k long, size long, at long, lo short, hi short"), "suffixes")
+        new = array(found)
+        forget(found)
+        hits = scan(new, [x for _, x in self.levels])
+        self.levels.append((1, new))
+        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
+            (n, x), (_, y) = self.levels.pop(), self.levels.pop()
+            self.levels.append((2 * n, array(x.union(y))))
+            forget(x)
+            forget(y)
+        return hits
+
+    def forget(self) -> None:
+        """Delete the levels."""
+        for _, x in self.levels:
+            forget(x)
+        self.levels = []
+
+
+def scan(new: DataFrame, levels: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Merge-scan of the array ``new`` against those of ``levels``; see :meth:`SuffixIndex.add`."""
+    rows = new.withColumn("new", F.lit(True))
+    for level in levels:
+        rows = rows.union(level.withColumn("new", F.lit(False)))
+    shared = rows.groupBy(*KEY).agg(F.count("*").alias("n"), F.max("new").alias("fresh")).where("n > 1 and fresh")
+    near = written(rows.join(shared.select(*KEY).hint("merge"), KEY, "left_semi"), "scan")  # alike in ANCHOR bytes, one of them new
+    kinds = written(near.groupBy(*KIND).agg(F.count("*").alias("n"), F.max("new").alias("fresh"), F.min(F.struct("k", "size", "at")).alias("one")), "kinds")
+    whole = near.join(kinds.where("n > 1 and fresh").select(*KIND).hint("merge"), KIND, "left_semi")
+    runs = written(whole.select("k", "size", (F.col("at") + F.col("lo")).alias("first"), (F.col("at") + F.col("hi")).alias("last")), "hits")
+    several = kinds.groupBy(*KEY).agg(F.count("*").alias("kinds"), F.max("fresh").alias("fresh"), F.min("n").alias("least")).where("kinds > 1 and fresh and least = 1")
+    looks = written(kinds.join(several.select(*KEY).hint("merge"), KEY, "left_semi").select(*KIND, "one.*"), "looks")
+    forget(near)
+    forget(kinds)
+    return runs, looks
+
+
+def second_look(texts: DataFrame, looks: DataFrame, length: int) -> DataFrame:
+    """(k, size, first, last): runs of windows that kinds of one anchor have in common."""
+    looks = looks.select("anchor", "k", "size", "at", "lo", "hi").distinct()
+    crowded = looks.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > MANY).select("anchor", F.lit(True).alias("many"))
+    looks = looks.join(crowded.hint("merge"), "anchor", "left").withColumn("many", F.coalesce("many", F.lit(False)))
+    looks = looks.groupBy("k", "size").agg(F.collect_list(F.struct("anchor", "at", "lo", "hi", "many")).alias("looks"))
+    there = texts.withColumn("size", F.octet_length("text").cast("long")).join(looks.hint("shuffle_hash"), ["k", "size"]).dropDuplicates(["k", "size"])
+    seen = written(there.select("k", "text", "looks").mapInArrow(_contexts(length), "anchor long, k long, size long, at long, lo short, hi short, many boolean, bytes binary"), "contexts")
+    few = seen.where("not many").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare(length), "k long, size long, first long, last long")
+    wide = written(seen.where("many").mapInArrow(_exploded(length), "anchor long, step long, h long, k long, size long, first long"), "windows")
+    by = ["anchor", "step", "h"]
+    often = wide.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").select(*by)
+    out = written(few.union(wide.join(often.hint("merge"), by, "left_semi").select("k", "size", "first", F.col("first").alias("last"))), "seconds")
+    forget(seen)
+    forget(wide)
+    return out
+
+
+def repeated_windows(docs: DataFrame, key: str, text: str, length: int = 200, batches: int = 2) -> DataFrame:
+    """(key, size, runs): for each document with repeats (and its bytes) the array of (first, last) starts of windows that occur elsewhere."""
     texts = docs.select(F.col(key).alias("k"), F.col(text).alias("text"))
-    entries = written(texts.mapInArrow(_suffixes(length), "anchor long, span long, k long, at int, lo short, hi short").withColumn("batch", F.pmod(F.xxhash64("k"), F.lit(batches)).cast("int")), "suffixes")
-    levels: list[tuple[int, DataFrame]] = []
-    hits = []
+    index, runs, looks = SuffixIndex(length), [], []
     for b in range(batches):
-        while len(levels) > 1 and levels[-1][0] == levels[-2][0]:  # equal sizes merge before the next batch
-            (n, x), (_, y) = levels.pop(), levels.pop()
-            levels.append((2 * n, x.union(y)))
-        batch = entries.where(F.col("batch") == b).drop("batch")
-        hits.append(written(scan(batch, [x for _, x in levels]), "hits"))
-        levels.append((1, batch))
-    hit = hits[0]
-    for more in hits[1:]:
-        hit = hit.union(more)
-    runs = hit.where("whole").select("k", (F.col("at") + F.col("lo")).cast("int").alias("first"), (F.col("at") + F.col("hi")).cast("int").alias("last"))
-    looks = hit.where("look").select("anchor", "span", "k", "at", "lo", "hi").distinct()
-    looks = looks.withColumn("many", F.count("*").over(Window.partitionBy("anchor")) > MANY)
-    looks = looks.groupBy("k").agg(F.collect_list(F.struct("anchor", "at", "lo", "hi", "many")).alias("looks"))
-    seen = texts.join(looks.hint("shuffle_hash"), "k").mapInArrow(_contexts(length), "anchor long, k long, at int, lo short, hi short, many boolean, bytes binary")
-    seen = written(seen, "contexts")
-    few = seen.where("not many").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare(length), "k long, first int, last int")
-    wide = seen.where("many").mapInArrow(_exploded(length), "anchor long, step long, h long, k long, first int")
-    times = Window.partitionBy("anchor", "step", "h")
-    wide = wide.withColumn("n", F.count("*").over(times)).where("n > 1").select("k", "first", F.col("first").alias("last"))
-    found = runs.union(few).union(wide).groupBy("k").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    found = written(found, "runs")
-    for x in (entries, seen):
+        hit, look = index.add(texts.where(F.pmod(F.xxhash64("k"), F.lit(batches)) == b))
+        runs.append(hit)
+        looks.append(look)
+    index.forget()
+    every = looks[0]
+    for more in looks[1:]:
+        every = every.union(more)
+    runs.append(second_look(texts, every, length))
+    found = runs[0]
+    for more in runs[1:]:
+        found = found.union(more)
+    found = written(found.groupBy("k", "size").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "runs")
+    for x in (*runs, *looks):
         forget(x)
     return found.withColumnRenamed("k", key)
 
@@ -220,27 +273,27 @@ def _cut(length: int, text_col: str, whole_characters: bool):
                 kept.append(b"".join([*left, data[at:]]))
                 spans.append([{"first": a, "last": z} for a, z in merged])
             sha = pa.array([hashlib.sha256(x).hexdigest() for x in kept])
-            kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+            kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.binary()), pa.array(spans, kind), sha], ["row", "kept", "spans", "sha256"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", length: int = 200, batches: int = 4, whole_characters: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", length: int = 200, batches: int = 2, whole_characters: bool = False) -> DataFrame:
     """``docs`` with kept (binary), spans (array of [first, last) byte ranges), n_bytes, n_removed and kept_sha256.
 
     Every byte goes that is covered by a ``length``-byte string (UTF-8) that also starts anywhere else, same document
     included; overlaps count and strings are judged on the input. Null and empty texts have no bytes; a null text keeps
     an empty ``kept``. Matches never cross documents. Repeated rows are copies of each other, so all their strings
     of ``length`` bytes go. With ``whole_characters`` a character that repeats only in part stays, so that kept is UTF-8. Strings
-    are compared by 64-bit hashes within equal 64-bit anchors. Other columns stay, but those with the new names are replaced. Empty
-    tables give empty results. Rows are told apart by a 64-bit hash of id and text.
+    are compared by 64-bit hashes, among those only whose anchors are alike by eight bytes and a hash of their own. Other columns stay, but those with the new names are replaced. Empty
+    tables give empty results. Rows are told apart by a 64-bit hash of id and text, and by their size.
     """
     docs = docs.drop(*({"kept", "spans", "kept_sha256", "n_bytes", "n_removed"} - {id_col, text_col}))
     keyed = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("_k"), F.struct(*docs.columns).alias("row"))
     found = repeated_windows(keyed.select("_k", F.col("row")[text_col].alias("_text")), "_k", "_text", length, batches)
-    packed = keyed.join(found, "_k", "left").select("row", "runs")
+    packed = keyed.withColumn("size", F.coalesce(F.octet_length(F.col("row")[text_col]), F.lit(0)).cast("long")).join(found, ["_k", "size"], "left").select("row", "runs")
     row = docs.schema.simpleString()
-    out = packed.mapInArrow(_cut(length, text_col, whole_characters), f"row {row}, kept binary, spans array<struct<first:int,last:int>>, sha256 string")
+    out = packed.mapInArrow(_cut(length, text_col, whole_characters), f"row {row}, kept binary, spans array<struct<first:long,last:long>>, sha256 string")
     n = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long")
     return out.select("row.*", "kept", "spans", F.col("sha256").alias("kept_sha256")).withColumn("n_bytes", n).withColumn("n_removed", n - F.octet_length("kept"))
