@@ -194,21 +194,25 @@ def scan(new: DataFrame, levels: list[DataFrame]) -> tuple[DataFrame, DataFrame]
     for level in levels:
         rows = rows.union(level.withColumn("new", F.lit(False)))
     shared = rows.groupBy(*KEY).agg(F.count("*").alias("n"), F.max("new").alias("fresh")).where("n > 1 and fresh")
-    near = written(rows.join(shared.select(*KEY).hint("merge"), KEY, "left_semi"), "scan")  # alike in ANCHOR bytes, one of them new
+    shared = written(shared.select(*KEY), "shared")  # read again, so that both sides of the join are plain exchanges, which Spark splits
+    near = written(rows.join(shared.hint("merge"), KEY, "left_semi"), "scan")  # alike in ANCHOR bytes, one of them new
     kinds = written(near.groupBy(*KIND).agg(F.count("*").alias("n"), F.max("new").alias("fresh"), F.min(F.struct("k", "size", "at")).alias("one")), "kinds")
     whole = near.join(kinds.where("n > 1 and fresh").select(*KIND).hint("merge"), KIND, "left_semi")
     runs = written(whole.select("k", "size", (F.col("at") + F.col("lo")).alias("first"), (F.col("at") + F.col("hi")).alias("last")), "hits")
     several = kinds.groupBy(*KEY).agg(F.count("*").alias("kinds"), F.max("fresh").alias("fresh"), F.min("n").alias("least")).where("kinds > 1 and fresh and least = 1")
-    looks = written(kinds.join(several.select(*KEY).hint("merge"), KEY, "left_semi").select(*KIND, "one.*"), "looks")
-    forget(near)
-    forget(kinds)
+    several = written(several.select(*KEY), "several")
+    looks = written(kinds.join(several.hint("merge"), KEY, "left_semi").select(*KIND, "one.*"), "looks")
+    for x in (near, kinds, shared, several):
+        forget(x)
     return runs, looks
 
 
 def second_look(texts: DataFrame, looks: DataFrame, length: int) -> DataFrame:
     """(k, size, first, last): runs of windows that kinds of one anchor have in common."""
     looks = looks.select("anchor", "k", "size", "at", "lo", "hi").distinct()
+    looks = written(looks, "looks")
     crowded = looks.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > MANY).select("anchor", F.lit(True).alias("many"))
+    crowded = written(crowded, "crowded")
     looks = looks.join(crowded.hint("merge"), "anchor", "left").withColumn("many", F.coalesce("many", F.lit(False)))
     looks = looks.groupBy("k", "size").agg(F.collect_list(F.struct("anchor", "at", "lo", "hi", "many")).alias("looks"))
     there = texts.withColumn("size", F.octet_length("text").cast("long")).join(looks.hint("shuffle_hash"), ["k", "size"]).dropDuplicates(["k", "size"])
@@ -216,7 +220,7 @@ def second_look(texts: DataFrame, looks: DataFrame, length: int) -> DataFrame:
     few = seen.where("not many").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare(length), "k long, size long, first long, last long")
     wide = written(seen.where("many").mapInArrow(_exploded(length), "anchor long, step long, h long, k long, size long, first long"), "windows")
     by = ["anchor", "step", "h"]
-    often = wide.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").select(*by)
+    often = written(wide.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").select(*by), "often")
     out = written(few.union(wide.join(often.hint("merge"), by, "left_semi").select("k", "size", "first", F.col("first").alias("last"))), "seconds")
     forget(seen)
     forget(wide)
