@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import styles as s
+from ..operators import dissolve
 from ..operators import documents as d
 from ..operators import evidence as e
 from .catalogue import AREA, CODED, DASHED, FRAGMENTS, LEGEND, METRICS, ROLES, SHAPE, TYPED, _profile, _roles, query
@@ -101,6 +102,20 @@ def _h5(spark, sf_dir):
     return d.merge_groups(_roles(spark, sf_dir)).withColumn("fid", F.row_number().over(order)).withColumnRenamed("n", "fragments")
 
 
+@query("h4_dissolve", """, t AS (SELECT DISTINCT collection_id, fill_hex, x0, y0 FROM v_tiles),
+p AS (SELECT t.collection_id, t.fill_hex, count(*) AS pairs FROM t JOIN t n ON n.collection_id = t.collection_id AND n.fill_hex IS NOT DISTINCT FROM t.fill_hex AND ((n.x0 = t.x0 + 4 AND n.y0 = t.y0) OR (n.x0 = t.x0 AND n.y0 = t.y0 + 4)) GROUP BY ALL),
+s AS (SELECT collection_id, fill_hex, count(*) AS tiles FROM t GROUP BY ALL)
+SELECT s.collection_id, s.fill_hex, CAST(tiles * 16 AS DECIMAL(18,3)) AS area, CAST(tiles * 16 - coalesce(pairs, 0) * 8 AS DECIMAL(18,3)) AS perimeter FROM s LEFT JOIN p ON p.collection_id = s.collection_id AND p.fill_hex IS NOT DISTINCT FROM s.fill_hex""", ("v_tiles",))
+def _h4(spark, sf_dir):
+    """Tiles of a grid, some of them several times: the union's area and the length of its borders, holes included."""
+    t = view(spark, sf_dir, "v_tiles")
+    corner = lambda dx, dy: g.point(F.col("x0") + dx, F.col("y0") + dy)
+    ring = F.array(corner(0.0, 0.0), corner(4.0, 0.0), corner(4.0, 4.0), corner(0.0, 4.0), corner(0.0, 0.0))
+    rows = dissolve.dissolve(t.select("collection_id", "fill_hex", F.col("drawing_index").alias("polygon"), F.array(ring).alias("rings")), ["collection_id", "fill_hex"], least_area=0.0, cell=16.0)
+    border = F.aggregate(F.transform("rings", g.ring_perimeter), F.lit(0.0), lambda s, x: s + x)
+    return rows.groupBy("collection_id", "fill_hex").agg(F.sum(F.col("area").cast(AREA)).cast(AREA).alias("area"), F.sum(border.cast(AREA)).cast(AREA).alias("perimeter"))
+
+
 @query("h7_quality_gate", METRICS + ", p AS (SELECT collection_id, count(DISTINCT concat(coalesce(fill_hex, '-'), coalesce(stroke_hex, '-'))) AS groups FROM r GROUP BY collection_id) SELECT collection_id, n AS raw, groups AS primary_features, detected AND groups >= n AS warn FROM mm JOIN p USING (collection_id)", FRAGMENTS)
 def _h7(spark, sf_dir):
     rows = view(spark, sf_dir, "v_fragments")

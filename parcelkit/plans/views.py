@@ -20,6 +20,11 @@ SELECT CAST(l_suppkey % 8 AS INT) AS collection_id,
        CASE l_linenumber % 4 WHEN 0 THEN '[4 2] 0' WHEN 1 THEN '[] 0' WHEN 2 THEN NULL ELSE '[1 1] 2' END AS dashes,
        CASE WHEN l_linenumber % 2 = 1 THEN 'tri' ELSE 'rect' END AS shape
 FROM lineitem
+"""),
+    "v_tiles": ("lineitem", """
+SELECT CAST(l_suppkey % 8 AS INT) AS collection_id, CASE l_linenumber % 3 WHEN 0 THEN '#86b37f' WHEN 1 THEN '#d9483f' END AS fill_hex,
+       CAST(l_partkey % 70 AS DOUBLE) * 4.0 AS x0, CAST(l_orderkey % 50 AS DOUBLE) * 4.0 AS y0, l_orderkey * 8 + l_linenumber AS drawing_index
+FROM lineitem
 """),
     "v_spans": ("part", """
 SELECT CAST(p_partkey % 8 AS INT) AS collection_id, p_partkey AS span_index,
