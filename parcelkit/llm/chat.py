@@ -1,11 +1,11 @@
 """Chat formatting over reply trees, in DataFrame operations only.
 
 Messages form trees. Iterative self-joins enumerate the paths from roots to leaves, twice as far each round; every
-path is a branch. Branches of a tree are ranked by the sum of their messages' scores, then by
+path is a branch, ranked before it is spelled out. Branches of a tree are ranked by the sum of their messages' scores, then by
 length, then by the leaf's key; each chosen branch is formatted as one conversation.
 
-Template of a turn:  ``<turn role>\\n`` text ``</turn>\\n``.  Texts escape ``\\``, ``<`` and ``#`` as ``\\\\``, ``\\l``
-and ``\\h``, so no control string can appear inside one, and reading back is exact.
+Template of a turn:  ``<turn role>\\n`` text ``</turn>\\n``.  Texts escape ``\\``, ``<``, ``>`` and ``#`` as ``\\\\``, ``\\l``,
+``\\g`` and ``\\h``, so no control string can appear inside one, and reading back is exact.
 """
 
 from __future__ import annotations
@@ -33,7 +33,10 @@ def unescape(text: Column) -> Column:
 
 
 def linear_tree(df: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
-    """Messages of flat conversations as a tree: (conv, node, parent, score, ...); each turn replies to the one before it."""
+    """Messages of flat conversations as a tree: (conv, node, parent, score, ...); each turn replies to the one before it.
+
+    Turns that tie go by role, then text; null turns come first. Repeated rows stay, one after the other. A null conversation is one of its own.
+    """
     order = Window.partitionBy(conv).orderBy(turn, "role", "text")
     at = F.row_number().over(order).cast("long")
     return df.withColumn("node", at).withColumn("parent", F.when(at > 1, at - 1)).withColumn("score", F.lit(1.0))
@@ -48,33 +51,35 @@ def branches(tree: DataFrame, conv: str = "conv_id", best: int | None = 1) -> Da
     keep the smallest (parent, role, text), null parents first. A null conv is a conversation of its own. Empty tables give
     empty results.
 
-    Rounds of two self-joins double what is known: each leaf's ancestors up to distance 2**k, and each message's
-    ancestor at distance 2**k. So a path of n messages takes log2(n) rounds, and only keys travel; texts come last.
+    A round of one self-join doubles how far each message sees: its ancestor at distance 2**k, and the sum of scores up to there. So a
+    path of n messages takes log2(n) rounds of as many rows as there are messages. Only the chosen paths are spelled out then, by the
+    same steps; texts come last.
     """
     nodes = tree.select(F.coalesce(F.col(conv).cast("string"), F.lit("")).alias("c"), F.col(conv).isNull().alias("no"), "node", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"))
     nodes = nodes.groupBy("c", "no", "node").agg(F.min(F.struct(F.col("parent").isNotNull().alias("has"), "parent", "role", "text", "score")).alias("m")).select("c", "no", "node", "m.parent", "m.role", "m.text", "m.score")
     nodes = written(nodes, "nodes")
     one = ["c", "no"]
     most = nodes.groupBy(*one).count().agg(F.max("count")).head()[0] or 0
-    known = nodes.select(*one, F.col("node").alias("parent"))
-    lift = nodes.select(*one, "node", "parent").join(known, [*one, "parent"]).select(*one, "node", F.col("parent").alias("up"))
-    lift = written(lift, "lift")
-    inner = lift.select(*one, F.col("up").alias("node")).distinct()
-    reach = nodes.join(inner, [*one, "node"], "left_anti").select(*one, F.col("node").alias("leaf"), "node", F.lit(0).alias("far"))
-    top = nodes.join(lift, [*one, "node"], "left_anti").select(*one, "node", F.lit(True).alias("root"))
-    step = 1
-    while step <= most and not lift.isEmpty():
-        reach = written(reach.union(reach.join(lift, [*one, "node"]).select(*one, "leaf", F.col("up").alias("node"), (F.col("far") + step).alias("far"))), "reach")
-        above = lift.select(*one, F.col("node").alias("up"), F.col("up").alias("next"))
-        lift = written(lift.join(above, [*one, "up"]).select(*one, "node", F.col("next").alias("up")), "lift")
-        step *= 2
-    scores = nodes.select(*one, "node", "score").join(top, [*one, "node"], "left")
-    paths = reach.join(scores, [*one, "node"]).groupBy(*one, "leaf").agg(F.sum("score").alias("score"), F.count("*").alias("length"), F.max("root").alias("root")).where("root")
-    rank = F.row_number().over(Window.partitionBy(*one).orderBy(F.desc("score"), F.desc("length"), "leaf"))
-    paths = paths.withColumn("branch", rank).select(*one, "leaf", "branch")
+    known = nodes.select(*one, F.col("node").alias("parent"), F.col("node").alias("up"))
+    seen = nodes.select(*one, "node", "parent", "score").join(known, [*one, "parent"], "left").select(*one, "node", "up", "score", F.lit(1).alias("length"))
+    steps = [written(seen, "seen")]
+    while 2 ** len(steps) <= 2 * most and not steps[-1].where("up is not null").isEmpty():
+        last = steps[-1]
+        above = last.select(*one, F.col("node").alias("up"), F.col("up").alias("next"), F.col("score").alias("more"), F.col("length").alias("longer"))
+        seen = last.join(above, [*one, "up"], "left").select(*one, "node", F.col("next").alias("up"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"), (F.col("length") + F.coalesce("longer", F.lit(0))).alias("length"))
+        steps.append(written(seen, "seen"))
+    inner = steps[0].where("up is not null").select(*one, F.col("up").alias("node")).distinct()
+    leaves = steps[-1].where("up is null").join(inner, [*one, "node"], "left_anti")  # in or below a circle there is always something above
+    rank = F.row_number().over(Window.partitionBy(*one).orderBy(F.desc("score"), F.desc("length"), "node"))
+    paths = leaves.withColumn("branch", rank).select(*one, F.col("node").alias("leaf"), "branch")
     if best is not None:
         paths = paths.where(F.col("branch") <= best)
-    told = reach.join(paths, [*one, "leaf"]).join(nodes.select(*one, "node", "role", "text"), [*one, "node"])
+    paths = written(paths, "paths")
+    reach = paths.select(*one, "branch", F.col("leaf").alias("node"), F.lit(0).alias("far"))
+    for k, step in enumerate(steps[:-1]):
+        up = step.where("up is not null").select(*one, "node", "up")
+        reach = written(reach.union(reach.join(up, [*one, "node"]).select(*one, "branch", F.col("up").alias("node"), (F.col("far") + 2**k).alias("far"))), "reach")
+    told = reach.join(nodes.select(*one, "node", "role", "text"), [*one, "node"])
     turns = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("far")).alias("at"), "role", "text"))), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
     told = told.groupBy(*one, "branch").agg(turns.alias("turns"))
     return told.select(F.when(~F.col("no"), F.col("c")).cast(tree.schema[conv].dataType).alias(conv), "branch", "turns")
@@ -89,7 +94,7 @@ def formatted(paths: DataFrame) -> DataFrame:
 def read_back(df: DataFrame, column: str = "formatted", answers: str = "assistant") -> DataFrame:
     """``df`` with what its formatted conversations say: ``turns_read`` (role, text, loss) and ``loss_text``.
 
-    The loss mask covers the text of each ``answers`` turn, without its markers.
+    The loss mask covers the text of each ``answers`` turn, without its markers. A null conversation reads as null, an empty one as no turns.
     """
     body = F.filter(F.split(F.col(column), F.lit(CLOSE)), lambda x: x != "")
     part = lambda x: F.split(F.substring(x, F.lit(len(OPEN) + 1), F.length(x)), F.lit(MID), 2)
