@@ -32,7 +32,7 @@ def plan_tables(n: int, threshold: float, cell_rows: int = 300, miss: float = 0.
     edges = np.arange(-9, 10) * CELL_WIDTH
     cdf = np.array([0.5 * (1 + math.erf(x / math.sqrt(2))) for x in edges])
     same = float((np.diff(cdf) ** 2).sum())
-    lines = max(1, min(24, round(math.log(max(n, 1) / cell_rows) / math.log(1 / same)))) if n > cell_rows else 1
+    lines = max(1, round(math.log(n / cell_rows) / math.log(1 / same))) if n > cell_rows else 1
     step = math.sqrt(2 - 2 * threshold) * math.sqrt(2 / math.pi)
     stays = max(0.05, 1 - step / CELL_WIDTH) ** lines
     return lines, max(1, math.ceil(math.log(miss) / math.log(1 - stays)))
@@ -68,12 +68,16 @@ def collisions(pa: np.ndarray, pb: np.ndarray, half: float) -> np.ndarray:
 
 
 def _smallest_label(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """The smallest id that each row reaches through the symmetric matrix ``linked``."""
-    label = ids.copy()
+    """The smallest id that each row reaches through the symmetric matrix ``linked``; labels are followed to their own labels, so long paths take few steps."""
+    order = np.argsort(ids, kind="stable")
+    rank = np.empty(len(ids), np.int64)
+    rank[order] = np.arange(len(ids))
+    label = rank.copy()
     while True:
-        new = np.minimum(label, np.where(linked, label[None, :], np.iinfo(np.int64).max).min(axis=1))
+        new = np.minimum(label, np.where(linked, label[None, :], len(ids)).min(axis=1))
+        new = np.minimum(new, new[order[new]])
         if (new == label).all():
-            return label
+            return ids[order[label]]
         label = new
 
 
@@ -123,11 +127,10 @@ def near_duplicate_vectors(
     at = celled.select("rep", "n", "v", "cells", F.posexplode("cells").alias("t", "cell")).join(full.hint("shuffle_hash"), ["t", "cell"])
     block = F.when(F.col("blocks") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("rep", "v"), F.col("blocks")).cast("int"))
     at = at.withColumn("mine", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    at = at.select("t", "cell", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep", "n", "v", "cells")
+    at = at.select("t", "cell", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep", "n", "v", "cells", F.size("v").alias("dim"))
 
     def count_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         t, i, j = int(pdf["t"].iloc[0]), pdf["i"].iloc[0], pdf["j"].iloc[0]
-        pdf = pdf[pdf["v"].map(len) == len(pdf["v"].iloc[0])]
         x, ids, n, mine, keys = _unit(np.stack(pdf["v"])), pdf["rep"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), pdf["mine"].to_numpy(), np.stack(pdf["cells"])
         count = collisions(p := x @ lines(x.shape[1])[3], p, half)
         a, b = np.nonzero(np.triu(count >= least, 1))
@@ -143,7 +146,7 @@ def near_duplicate_vectors(
         some = linked.any(axis=1)
         return pd.DataFrame({"rep": ids, "links": linked @ n, "root": _smallest_label(linked, ids)})[some]
 
-    found = at.groupBy("t", "cell", "i", "j").applyInPandas(count_pairs, "rep long, links long, root long")
+    found = at.groupBy("t", "cell", "i", "j", "dim").applyInPandas(count_pairs, "rep long, links long, root long")
     found = written(found, "found")
     forget(celled)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))

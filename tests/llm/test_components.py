@@ -32,3 +32,16 @@ def test_components(spark, monkeypatch, name):
     got = components.connected_components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()
     assert {(r.id, r.component_id) for r in got} == {(x, sets.root(x)) for x in {y for link in real for y in link}}
     assert len(got) == len({r.id for r in got}) and tags.count("hooks") <= 12
+
+
+def test_labels_inside_a_task():
+    """A path of 300 rows in random order, and a row by itself."""
+    import numpy as np
+
+    from parcelkit.llm.embed_dedup import _smallest_label
+
+    way, linked = rng.sample(range(300), 300), np.zeros((301, 301), bool)
+    for a, b in zip(way, way[1:], strict=False):
+        linked[a, b] = linked[b, a] = True
+    ids = np.array(rng.sample(range(1000), 301))
+    assert _smallest_label(linked, ids).tolist() == [ids[:300].min()] * 300 + [ids[300]]

@@ -17,10 +17,8 @@ def rows(spark):
 
 
 
-@pytest.mark.parametrize("parts", [1, 1024])
-def test_bound_and_slots(rows, monkeypatch, parts):
-    """No shard exceeds the bound by more than a row, slots are gapless, no row is lost; with and without cut tickets."""
-    monkeypatch.setattr(sharding, "PARTS", parts)
+def test_bound_and_slots(rows):
+    """No shard exceeds the bound by more than a row, slots are gapless, no row is lost, also where a key with a third of the rows is cut into parts."""
     got = sharding.bounded_ring(rows, "doc_id", "size", 12).collect()
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((r.doc_id, r.size, r.text_crc32) for r in rows.collect())
     load, slots = defaultdict(int), defaultdict(list)
@@ -42,13 +40,11 @@ def test_places_follow_a_plain_ring(spark):
 
 
 def test_movement(spark):
-    """One more shard: of rows that no bound moves, only those it takes move; with the usual bound few others do."""
-    df = spark.range(20_000).select(F.col("id").alias("doc_id"), (F.col("id") * 7919 % 997 + 16).alias("size"))
+    """One more shard: of rows that no bound moves, only those it takes move."""
+    df = spark.range(5000).select(F.col("id").alias("doc_id"), (F.col("id") * 7919 % 997 + 16).alias("size"))
     shard = lambda n, slack: {r.doc_id: r.shard for r in sharding.bounded_ring(df, "doc_id", "size", n, slack=slack).collect()}
     a, b = shard(10, 50.0), shard(11, 50.0)
     assert {b[i] for i in a if a[i] != b[i]} == {10} and sum(a[i] != b[i] for i in a) < 0.2 * len(a)
-    a, b = shard(10, 0.01), shard(11, 0.01)
-    assert sum(a[i] != b[i] for i in a) < 0.6 * len(a)
 
 
 def test_same_on_every_run(rows):
