@@ -146,7 +146,7 @@ def expected_legend_rows(spans: DataFrame, legend: tuple[float, float, float, fl
     codes = F.explode(F.array(*[F.lit(c) for c in s.TARGET_CODES])).alias("code")
     rows = spans.select("collection_id").distinct().select("collection_id", codes)
     confidence = F.when(F.col("a.out") == 0, 0.45).when(F.col("a.out") == 1, 0.28).otherwise(0.0)
-    return rows.join(anchors, ["collection_id", "code"], "left").select("collection_id", "code", F.col("a.span_index").alias("anchor"), confidence.alias("confidence"))
+    return rows.join(anchors.hint("shuffle_hash"), ["collection_id", "code"], "left").select("collection_id", "code", F.col("a.span_index").alias("anchor"), confidence.alias("confidence"))
 
 
 def merge_groups(fragments: DataFrame) -> DataFrame:
@@ -192,9 +192,10 @@ def infer_type(features: DataFrame) -> DataFrame:
 
 
 def longest_prefix(features: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """``features`` with the group of the longest prefix of LAYER.CLASS; ``prefixes`` (prefix, label) is a short vocabulary, broadcast."""
+    """``features`` with the group of the longest prefix of LAYER.CLASS; ``prefixes``: (prefix, label). Each distinct key is looked up by all of its beginnings, so the join is on equality."""
     keys = features.select("layer", "class").distinct().withColumn("key", F.concat_ws(".", F.coalesce("layer", F.lit("UNCLASSIFIED")), F.coalesce("class", F.lit("UNMAPPED"))))
-    found = keys.join(F.broadcast(prefixes), F.col("key").startswith(F.col("prefix")), "left").groupBy("layer", "class", "key").agg(F.max_by("label", F.length("prefix")).alias("group_label"))
+    begins = keys.withColumn("prefix", F.explode(F.transform(F.sequence(F.lit(1), F.length("key")), lambda n: F.substring("key", F.lit(1), n))))
+    found = begins.join(prefixes.hint("shuffle_hash"), "prefix", "left").groupBy("layer", "class", "key").agg(F.max_by("label", F.when(F.col("label").isNotNull(), F.length("prefix"))).alias("group_label"))
     same = features["layer"].eqNullSafe(found["layer"]) & features["class"].eqNullSafe(found["class"])
     return features.join(found.hint("shuffle_hash"), same, "left").drop(found["layer"], found["class"])
 

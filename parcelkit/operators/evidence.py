@@ -39,7 +39,7 @@ def diagnose(drawings: DataFrame, spans: DataFrame, pages: DataFrame) -> DataFra
         F.count_if(white & full_page(*d.PAGE)).alias("backgrounds"),
     )
     words = spans.select("collection_id", F.explode(F.split("raw_text", r"\s+")).alias("word")).groupBy("collection_id").agg(F.count_if(F.upper(F.substring("word", 1, 1)).isin("Z", "P", "K")).alias("labels"))
-    rows = pages.groupBy("collection_id").agg(F.sum("image_count").alias("images")).join(drawn, "collection_id", "left").join(words, "collection_id", "left").na.fill(0)
+    rows = pages.groupBy("collection_id").agg(F.sum("image_count").alias("images")).join(drawn.hint("shuffle_hash"), "collection_id", "left").join(words.hint("shuffle_hash"), "collection_id", "left").na.fill(0)
     rows = rows.withColumn("only_background", (F.col("backgrounds") >= 1) & (F.col("coloured") == 0) & (F.col("fills") <= 1))
     choice = (
         F.when(F.col("only_background"), "diagnostic_only_v1").when(F.col("coloured") > 0, "vector_fill_style_polygon_v1").when(F.col("images") > 0, "raster_style_segmentation_v1")
@@ -114,11 +114,11 @@ def classify_evidence(rows: DataFrame, sources: dict[str, float]) -> DataFrame:
 def remap(features: DataFrame, classes: DataFrame) -> DataFrame:
     """One row per distinct (layer, class, type_text, ref): proposed_class, type, display_label, score and review.
 
-    ``classes`` (layer_class, label) is a short vocabulary, broadcast. A listed class keeps its name, a custom one needs ref, others are UNMAPPED.
+    ``classes`` (layer_class, label) is the vocabulary. A listed class keeps its name, a custom one needs ref, others are UNMAPPED.
     """
     rows = d.infer_type(features.select("layer", "class", "type_text", "ref").distinct())
     rows = rows.withColumn("layer_class", F.concat_ws(".", F.coalesce("layer", F.lit("UNCLASSIFIED")), F.coalesce("class", F.lit("UNMAPPED"))))
-    rows = rows.join(F.broadcast(classes), "layer_class", "left")
+    rows = rows.join(classes.hint("shuffle_hash"), "layer_class", "left")
     custom, listed, ref = F.col("layer_class").startswith("CUST."), F.col("label").isNotNull(), F.nullif(F.col("ref"), F.lit(""))
     unsure = F.col("type_score") < 0.8
     return (

@@ -134,7 +134,7 @@ def numbered(rows: DataFrame, name: str, index: str, *more: str, chunk: int = 40
     before = Window.partitionBy("collection_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("collection_id", "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     rank = F.row_number().over(Window.partitionBy("collection_id", "_chunk").orderBy(index, *more))
-    return rows.withColumn(name, rank).join(counts, ["collection_id", "_chunk"]).withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_chunk", "_before")
+    return rows.withColumn(name, rank).join(counts.hint("shuffle_hash"), ["collection_id", "_chunk"]).withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_chunk", "_before")
 
 
 def emit_features(drawings: DataFrame, page: tuple[float, float]) -> DataFrame:
@@ -207,7 +207,7 @@ def replay(ring: Column, edits: Column) -> Column:
 def replay_vertex_edits(features: DataFrame, log: DataFrame, key: list[str]) -> DataFrame:
     """``features`` (with rings) after the edits of ``log`` (``key``, seq, op, x, y), by seq; only outer rings change, features without edits stay."""
     edits = log.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("seq", "op", "x", "y"))).alias("_edits"))
-    rows = features.join(edits, key, "left")
+    rows = features.join(edits.hint("shuffle_hash"), key, "left")
     outer = replay(F.get("rings", F.lit(0)), F.col("_edits"))
     changed = F.concat(F.array(outer), F.slice("rings", F.lit(2), F.greatest(F.size("rings") - 1, F.lit(0))))
     return rows.withColumn("rings", F.when(F.col("_edits").isNotNull() & (F.size("rings") > 0), changed).otherwise(F.col("rings"))).drop("_edits")
@@ -226,7 +226,7 @@ def void_metrics(features: DataFrame) -> DataFrame:
 def clean_candidates(features: DataFrame, holes: DataFrame, key: list[str]) -> DataFrame:
     """``features`` (with rings) that have removable ``holes`` (of hole_classes), with cleaned: their rings without those holes."""
     gone = holes.where("removable").groupBy(*key).agg(F.collect_set("hole_index").alias("_gone"))
-    rows = features.join(gone, key)
+    rows = features.join(gone.hint("shuffle_hash"), key)
     return rows.withColumn("cleaned", F.filter("rings", lambda r, i: ~F.array_contains("_gone", i))).withColumn("removed", F.size("_gone")).drop("_gone")
 
 
@@ -247,6 +247,6 @@ def hole_summary(features: DataFrame, holes: DataFrame) -> DataFrame:
     boxed = holes.withColumn("hole_box", g.bbox_area(g.bbox(F.array("hole"))))
     counted = boxed.groupBy("collection_id").agg(F.count("*").alias("holes"), F.count_if(rect & (F.col("hole_area") > 0)).alias("rectangular"), F.sum(F.when(rect, F.col("hole_area").cast("decimal(18,3)"))).alias("rect_area"))
     total = features.groupBy("collection_id").agg(F.sum(F.col("area").cast("decimal(18,3)")).alias("area"))
-    rows = total.join(counted, "collection_id", "left").na.fill(0, ["holes", "rectangular"]).withColumn("rect_area", F.coalesce("rect_area", F.lit(0).cast("decimal(18,3)")))
+    rows = total.join(counted.hint("shuffle_hash"), "collection_id", "left").na.fill(0, ["holes", "rectangular"]).withColumn("rect_area", F.coalesce("rect_area", F.lit(0).cast("decimal(18,3)")))
     ratio = F.col("rect_area").cast("double") / F.greatest((F.col("area") + F.col("rect_area")).cast("double"), F.lit(1.0))
     return rows.withColumn("rect_ratio", F.round(ratio, 6)).withColumn("to_review", F.when(ratio >= 0.025, F.col("rectangular")).otherwise(0))

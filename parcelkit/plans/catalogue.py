@@ -244,7 +244,8 @@ CASE WHEN raw IS NULL AND layer = 'ZMEN' THEN 0.9::DOUBLE WHEN raw IS NULL THEN
 
 @query("j4_infer_type", TYPED + " SELECT collection_id, layer, type_text, type, type_score, count(*) AS n FROM y GROUP BY ALL", ("v_features",))
 def _j4(spark, sf_dir):
-    return d.infer_type(view(spark, sf_dir, "v_features")).groupBy("collection_id", "layer", "type_text", "type", "type_score").agg(F.count("*").alias("n"))
+    rows = view(spark, sf_dir, "v_features").groupBy("collection_id", "layer", "type_text").agg(F.count("*").alias("n"))  # patterns once for each text
+    return d.infer_type(rows).select("collection_id", "layer", "type_text", "type", "type_score", "n")
 
 
 # Prefixes of LAYER.CLASS with a group of their own.
