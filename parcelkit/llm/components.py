@@ -44,3 +44,17 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     out = written(root.join(least, "root").select("id", "component_id"), "components")
     forget(root)
     return out
+
+
+def with_links(groups: DataFrame, more: DataFrame, a: str, b: str) -> DataFrame:
+    """``groups`` (of :func:`connected_components`) after the links ``more``: only the components that these connect are contracted, not all links again.
+
+    Ids that ``groups`` lacks are components of their own until then. Null ids are ignored; without links the groups stay as they are.
+    """
+    more = more.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("a"), F.col(b).alias("b"))
+    label = lambda x: groups.select(F.col("id").alias(x), F.col("component_id").alias(f"c{x}"))
+    ends = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+    merged = connected_components(ends, "ca", "cb").select(F.col("id").alias("old"), F.col("component_id").alias("new"))
+    alone = more.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(groups.hint("merge"), "id", "left_anti")
+    every = groups.select("id", "component_id").union(alone.select("id", F.col("id").alias("component_id")))
+    return written(every.join(merged, every.component_id == merged.old, "left").select("id", F.coalesce("new", "component_id").alias("component_id")), "components")

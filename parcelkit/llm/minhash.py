@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import texthash as th
 from .common import forget, written
-from .components import connected_components
+from .components import connected_components, with_links
 
 #: Bands and samples of a band: a pair at similarity 0.8 shares no band with probability 7e-5. Samples that the sketch
 #: folds, those of the bands among them, and its words of 64 bits.
@@ -206,8 +206,10 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, id_col:
             more = confirmed(pairs.distinct().join(links, ["a", "b"], "left_anti"))
         else:
             more = across(mixed)
+        if more.isEmpty():
+            continue
         links = links.union(more)
-        groups = connected_components(links, "a", "b")
+        groups = with_links(groups, more, "a", "b")
     groups = groups.withColumnRenamed("id", "rep")
     found = own.distinct().join(groups, "rep", "left").select("id", F.coalesce("component_id", "rep").alias("component_id")).groupBy("id").agg(F.min("component_id").alias("component_id"))
     component = F.coalesce("component_id", "id")

@@ -45,3 +45,17 @@ def test_labels_inside_a_task():
         linked[a, b] = linked[b, a] = True
     ids = np.array(rng.sample(range(1000), 301))
     assert _smallest_label(linked, ids).tolist() == [ids[:300].min()] * 300 + [ids[300]]
+
+
+def test_more_links_join_groups(spark):
+    """Links in two parts give what all of them give at once; nulls and an empty second part change nothing."""
+    draw = random.Random(5)
+    links = [(draw.randrange(400), draw.randrange(400)) for _ in range(260)]
+    table = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    plain = lambda df: {r.id: r.component_id for r in df.collect()}
+    first = components.connected_components(table(links[:130]), "a", "b")
+    whole = plain(components.connected_components(table(links), "a", "b"))
+    got = plain(components.with_links(first, table([*links[130:], (None, 3), (4, None)]), "a", "b"))
+    assert {k: v for k, v in got.items() if k in whole} == whole
+    assert all(v == k for k, v in got.items() if k not in whole)
+    assert plain(components.with_links(first, table([]), "a", "b")) == plain(first)
