@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, embed_dedup, minhash, mixing, packing, quality, sharding, suffix, tokens
+from . import ann, chat, embed_dedup, minhash, mixing, negatives, packing, quality, sharding, suffix, tokens
 from .common import table
 
 
@@ -99,7 +99,24 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_best_fit_packing, op3_quality_classifier, op4_minhash_near_dedup, op5_token_counts, op6_chat_formatting, op7_suffix_array_dedup, op8_source_mixing, op9_nearest_neighbours, op10_sharding)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label_col=moved)
+
+
+OP11_SQL = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS c
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_dot_product(a.c, b.c) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.c) = len(b.c)),
+p AS (SELECT anchor_id, id AS positive_id, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.id) AS INTEGER) AS rank,
+  n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.id) <= 3
+"""
+
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_best_fit_packing, op3_quality_classifier, op4_minhash_near_dedup, op5_token_counts, op6_chat_formatting, op7_suffix_array_dedup, op8_source_mixing, op9_nearest_neighbours, op10_sharding, op11_hard_negatives)}
 
 #: Exact cosines and links over all pairs; the other operators have no SQL of reasonable cost (see tests/llm).
 OP1_SQL = """
@@ -112,4 +129,4 @@ SELECT e.vec_id, coalesce(k.n, 0) AS n_links, coalesce(c.component_id, e.vec_id)
 FROM embeddings e LEFT JOIN (SELECT a, count(*) AS n FROM p GROUP BY a) k ON k.a = e.vec_id LEFT JOIN c ON c.id = e.vec_id
 """
 
-ORACLE = {"op1_embedding_near_dedup": OP1_SQL, "op6_chat_formatting": OP6_SQL, "op8_source_mixing": OP8_SQL}
+ORACLE = {"op1_embedding_near_dedup": OP1_SQL, "op6_chat_formatting": OP6_SQL, "op8_source_mixing": OP8_SQL, "op11_hard_negatives": OP11_SQL}

@@ -112,3 +112,16 @@ def check_packing(got, texts, path, room=2048):
             at += n
         assert at <= room
     return len(by), -(-sum(w[1] for w in want.values()) // room)
+
+
+def hard_negatives(rows, is_anchor, positives=5, negatives=3):
+    """(anchor, positive, rank, negative, positive score, negative score) from rows (id, label, vector)."""
+    good = [(i, lab, np.floor(256 * np.array(v, float)).astype(np.int64)) for i, lab, v in dict.fromkeys((i, lab, tuple(v)) for i, lab, v in rows if None not in (i, lab, v) and all(x is not None and np.isfinite(x) for x in v))]
+    out = []
+    for a, lab, c in good:
+        if is_anchor(a):
+            scored = sorted((-int(c @ x), i, other) for i, other, x in good if len(x) == len(c))
+            for p, i, _ in [s for s in scored if s[2] == lab and s[1] != a][:positives]:
+                some = [s for s in scored if s[2] != lab and 50 * -p <= 100 * -s[0] <= 95 * -p][:negatives]
+                out += [(a, i, k + 1, j, -p, -n) for k, (n, j, _) in enumerate(some)]
+    return sorted(out)
