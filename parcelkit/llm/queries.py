@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, embed_dedup, minhash, mixing, negatives, packing, quality, sharding, suffix, tokens
+from . import ann, chat, embed_dedup, minhash, mixing, negatives, packing, quality, sharding, spelling, suffix, tokens
 from .common import table
 
 
@@ -116,7 +116,11 @@ FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same AND 50 * p.score <=
 QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.id) <= 3
 """
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_best_fit_packing, op3_quality_classifier, op4_minhash_near_dedup, op5_token_counts, op6_chat_formatting, op7_suffix_array_dedup, op8_source_mixing, op9_nearest_neighbours, op10_sharding, op11_hard_negatives)}
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_best_fit_packing, op3_quality_classifier, op4_minhash_near_dedup, op5_token_counts, op6_chat_formatting, op7_suffix_array_dedup, op8_source_mixing, op9_nearest_neighbours, op10_sharding, op11_hard_negatives, op12_spelling_variants)}
 
 #: Exact cosines and links over all pairs; the other operators have no SQL of reasonable cost (see tests/llm).
 OP1_SQL = """

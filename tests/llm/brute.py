@@ -125,3 +125,35 @@ def hard_negatives(rows, is_anchor, positives=5, negatives=3):
                 some = [s for s in scored if s[2] != lab and 50 * -p <= 100 * -s[0] <= 95 * -p][:negatives]
                 out += [(a, i, k + 1, j, -p, -n) for k, (n, j, _) in enumerate(some)]
     return sorted(out)
+
+
+def spelling(docs, shortest=5, least=3):
+    """(word, form, root, n, n_near, form_n) from rows (id, text)."""
+    n = Counter()
+    for i, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            w = re.sub("[A-Z]", lambda m: m[0].lower(), run)
+            h = zlib.crc32(f"{'' if i is None else i}:{w}".encode())
+            n[w if h % 97 else w[: h % len(w)] + w[h % len(w) + 1 :]] += 1
+    n = {w: k for w, k in n.items() if len(w) >= shortest and k >= least}
+
+    def near(a, b):
+        if abs(len(a) - len(b)) > 1 or a == b:
+            return False
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+        a, b = sorted((a, b), key=len)
+        return any(b[:k] + b[k + 1 :] == a for k in range(len(b)))
+
+    form, count = {}, {}
+    for w in n:
+        others = sorted((-n[x], x) for x in n if near(w, x))
+        count[w] = len(others)
+        form[w] = others[0][1] if others and -others[0][0] >= 2 * n[w] else None
+    out = []
+    for w in n:
+        root = w
+        while form[root]:
+            root = form[root]
+        out.append((w, form[w], root, n[w], count[w], n.get(form[w])))
+    return sorted(out, key=str)
