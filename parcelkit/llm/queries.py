@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, embed_dedup, minhash, mixing, negatives, packing, quality, sharding, spelling, suffix, tokens
+from . import ann, chat, embed_dedup, minhash, mixing, negatives, packing, quality, sharding, spelling, suffix, tokens, warc
 from .common import table
 
 
@@ -120,7 +120,23 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_best_fit_packing, op3_quality_classifier, op4_minhash_near_dedup, op5_token_counts, op6_chat_formatting, op7_suffix_array_dedup, op8_source_mixing, op9_nearest_neighbours, op10_sharding, op11_hard_negatives, op12_spelling_variants)}
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return warc.archive(pages).pages(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
+#: Base32 of a SHA-1: each five hexadecimal digits make four letters.
+OP13_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+h AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS hex, min(page_id) OVER (PARTITION BY b) AS first FROM p),
+v AS (SELECT *, list_transform(range(0, 8), lambda k: CAST('0x' || substr(hex, CAST(5 * k + 1 AS INTEGER), 5) AS INTEGER)) AS v FROM h),
+d AS (SELECT *, array_to_string(list_transform(v, lambda x: array_to_string(list_transform([32768, 1024, 32, 1], lambda f: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x // f) % 32 + 1, 1)), '')), '') AS digest FROM v)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to, CASE WHEN page_id = first THEN true END AS intact
+FROM d
+"""
+
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_best_fit_packing, op3_quality_classifier, op4_minhash_near_dedup, op5_token_counts, op6_chat_formatting, op7_suffix_array_dedup, op8_source_mixing, op9_nearest_neighbours, op10_sharding, op11_hard_negatives, op12_spelling_variants, op13_warc)}
 
 #: Exact cosines and links over all pairs; the other operators have no SQL of reasonable cost (see tests/llm).
 OP1_SQL = """
@@ -133,4 +149,4 @@ SELECT e.vec_id, coalesce(k.n, 0) AS n_links, coalesce(c.component_id, e.vec_id)
 FROM embeddings e LEFT JOIN (SELECT a, count(*) AS n FROM p GROUP BY a) k ON k.a = e.vec_id LEFT JOIN c ON c.id = e.vec_id
 """
 
-ORACLE = {"op1_embedding_near_dedup": OP1_SQL, "op6_chat_formatting": OP6_SQL, "op8_source_mixing": OP8_SQL, "op11_hard_negatives": OP11_SQL}
+ORACLE = {"op1_embedding_near_dedup": OP1_SQL, "op6_chat_formatting": OP6_SQL, "op8_source_mixing": OP8_SQL, "op11_hard_negatives": OP11_SQL, "op13_warc": OP13_SQL}
