@@ -36,6 +36,8 @@ from .common import forget, shared_dir, written
 BROADCAST_ROWS, BLOCK_LINES, DIRECTORY_ROWS = 200_000, 3000, 200_000
 #: Bytes after which a task begins another archive, bytes read at once, blocks that a task keeps.
 ARCHIVE_BYTES, RANGE_BYTES, KEPT_BLOCKS = 1 << 30, 8 << 20, 4
+#: Bytes of archives that a task reads at least, and the most tasks of one reading.
+TASK_BYTES, MOST_TASKS = 16 << 20, 50_000
 #: Words of the format.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
@@ -295,8 +297,8 @@ def _walk(folder: str):
 class Archive:
     """Archives of a table of pages with their capture index, in one folder."""
 
-    def __init__(self, spark: SparkSession, folder: str, captures: DataFrame, directory: DataFrame) -> None:
-        self.spark, self.folder, self.captures, self.directory = spark, folder, captures, directory
+    def __init__(self, spark: SparkSession, folder: str, captures: DataFrame, directory: DataFrame, size: int) -> None:
+        self.spark, self.folder, self.captures, self.directory, self.size = spark, folder, captures, directory, size
         rows = sorted(((r["key"].encode(), *_page(r["id"])), (r["file"], r["offset"], r["length"])) for r in directory.collect())
         self._sent = spark.sparkContext.broadcast(([k for k, _ in rows], [w for _, w in rows]))
 
@@ -305,9 +307,10 @@ class Archive:
         ordered = queries.select("key", "id", "any_page").distinct().repartitionByRange("key", "id").sortWithinPartitions("key", "id")
         return ordered.mapInArrow(_search(self.folder, self._sent), _PLACE)
 
-    def records(self, places: DataFrame) -> DataFrame:
-        """The records at ``places``, each as often as it stands there."""
-        return places.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset").mapInArrow(_read(self.folder), RECORD)
+    def records(self, places: DataFrame, size: int | None = None) -> DataFrame:
+        """The records at ``places``, each as often as it stands there. ``size``: bytes of these records, if known; places are so small that Spark would put too many into a task."""
+        tasks = [] if size is None else [min(MOST_TASKS, 1 + size // TASK_BYTES)]
+        return places.repartitionByRange(*tasks, "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(_read(self.folder), RECORD)
 
     def lookup(self, urls: DataFrame, url_col: str = "url") -> DataFrame:
         """All captures of the URLs (by their keys, so without regard to scheme, www or fragment); unknown ones give nothing."""
@@ -316,7 +319,7 @@ class Archive:
 
     def pages(self, pages: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
         """The captures of these pages, by id and URL."""
-        return self.records(self.places(pages.select(url_key(F.col(url_col)).alias("key"), F.col(id_col).cast("long").alias("id"), F.lit(False).alias("any_page"))))
+        return self.records(self.places(pages.select(url_key(F.col(url_col)).alias("key"), F.col(id_col).cast("long").alias("id"), F.lit(False).alias("any_page"))), self.size)
 
     def every_record(self) -> DataFrame:
         """All records, archive by archive, without the index."""
@@ -344,7 +347,8 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     told = told.select("key", "id", "url", "payload", revisits.alias("refers_to"))
     captures = written(told.mapInArrow(_archives(folder), f"key string, id long, {_PLACE}"), "captures")
     forget(again)
-    lines = max(BLOCK_LINES, -(-captures.count() // DIRECTORY_ROWS))
+    n, size = captures.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).head()
+    lines = max(BLOCK_LINES, -(-n // DIRECTORY_ROWS))
     order = ["key", "id", "file", "offset"]
     directory = written(captures.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_blocks(folder, lines), f"key string, id long, {_PLACE}, lines long"), "directory")
-    return Archive(spark, folder, captures, directory)
+    return Archive(spark, folder, captures, directory, size)
