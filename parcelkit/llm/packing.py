@@ -14,7 +14,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -192,21 +192,23 @@ def pack(df: DataFrame, room: int = 2048, length: str = "length", group_rows: in
     # the join deals rows out as the ranks do
     ranked = rows.withColumn("_in", rank).join(first.hint("shuffle_hash"), [length, "_salt"]).withColumn("_rank", F.col("_first") + F.col("_in") - 1).drop("_first", "_in", "_salt")
 
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            size, at = pdf[length].to_numpy(np.int64), pdf["_rank"].to_numpy(np.int64)
-            sequence, offset = np.empty(len(pdf), np.int64), np.empty(len(pdf), np.int64)
+    names = df.columns
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # columns of df pass through as they are
+            size, at = (np.asarray(batch.column(n)).astype(np.int64) for n in (length, "_rank"))
+            sequence, offset = np.empty(len(size), np.int64), np.empty(len(size), np.int64)
             for x in np.unique(size):
                 some, runs = size == x, where.value[int(x)]
                 k = np.searchsorted(runs["rank"], at[some], "right") - 1
                 behind = at[some] - runs["rank"][k]
                 sequence[some] = runs["sequence"][k] + behind // runs["n"][k]
                 offset[some] = runs["offset"][k] + behind % runs["n"][k] * x
-            yield pdf.drop(columns="_rank").assign(sequence_id=sequence, offset=offset)
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    ranked = ranked.select(*df.columns, "_rank")
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return ranked.mapInPandas(deal, f"{names}, sequence_id long, offset long")
+    ranked = ranked.select(*names, "_rank")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return ranked.mapInArrow(deal, f"{schema}, sequence_id long, offset long")
 
 
 def sequences(packed: DataFrame, ids: str = "ids") -> DataFrame:

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -125,7 +126,7 @@ def importance_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id"
                     table[f, 0] += np.bincount(bucket, minlength=size)
                     table[f, 1] += np.bincount(bucket[np.repeat(train[at], np.diff(first))], minlength=size)
         if table.any():
-            salt = int(np.random.default_rng().integers(_SALTS))
+            salt = TaskContext.get().partitionId() % _SALTS  # a task that runs again sends its counts where they went before
             parts = table.reshape(4, -1, _CHUNK)
             yield pa.RecordBatch.from_pydict({"part": pa.array(range(4 * parts.shape[1]), pa.int32()), "salt": pa.array([salt] * 4 * parts.shape[1], pa.int32()), "counts": pa.array([x.astype("<i8").tobytes() for y in parts for x in y], pa.binary())})
 

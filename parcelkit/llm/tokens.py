@@ -14,7 +14,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -153,15 +153,16 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """
     first = df.sparkSession.sparkContext.broadcast(frequent_pretokens(df, text_col, path))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(first, path, lengths=True)
-        for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "n_bytes": pdf["n_bytes"], "n_tokens": list(encode.batch(list(pdf["text"])))})
+        for batch in batches:
+            n = pa.array(list(encode.batch(batch.column("text").to_pylist())), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_bytes"), n], ["id", "n_bytes", "n_tokens"])
 
     kind = dict(df.dtypes)[id_col]
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.col(id_col).alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
-    out = rows.mapInPandas(count, f"id {kind}, n_bytes long, n_tokens long")
+    out = rows.mapInArrow(count, f"id {kind}, n_bytes long, n_tokens long")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
@@ -173,18 +174,21 @@ def pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     """
     end = np.array([end_id], "<u4").tobytes()
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(None, path)
-        for pdf in batches:
+        for batch in batches:
             rows: list[tuple] = []
-            for own, ids in zip(pdf["id"], encode.batch(list(pdf["text"])), strict=True):
-                ids += end
-                for k, at in enumerate(range(0, len(ids), 4 * room)):
-                    part = ids[at : at + 4 * room]
-                    rows.append((own, k, at // 4, len(part) // 4, zlib.crc32(part), *([np.frombuffer(part, "<u4").astype(np.int32)] * with_ids)))
-            yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
+            for at, own in enumerate(encode.batch(batch.column("text").to_pylist())):
+                own += end
+                for k, begin in enumerate(range(0, len(own), 4 * room)):
+                    part = own[begin : begin + 4 * room]
+                    rows.append((at, k, begin // 4, len(part) // 4, zlib.crc32(part), *([np.frombuffer(part, "<u4").astype(np.int32)] * with_ids)))
+            of, *columns = zip(*rows, strict=True) if rows else [[]] * (5 + with_ids)
+            types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.list_(pa.int32())] * with_ids]
+            arrays = [batch.column("id").take(pa.array(of, pa.int64())), *[pa.array(list(x), t) for x, t in zip(columns, types, strict=True)]]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
 
     kind = dict(df.dtypes)[id_col]
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    out = rows.mapInPandas(cut, f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    out = rows.mapInArrow(cut, f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
     return out.withColumnRenamed("id", id_col)

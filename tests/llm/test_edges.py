@@ -38,6 +38,7 @@ def folder(spark, docs, tmp_path_factory):
     docs.select("*", F.lit("cs").alias("lang"), F.length("text").cast("long").alias("n_chars")).write.parquet(f"{at}/documents.parquet")
     spark.createDataFrame(VECTORS, "vec_id long, embedding array<float>").withColumn("label", F.lit(0)).write.parquet(f"{at}/embeddings.parquet")
     spark.createDataFrame([(5, 1, 0), (9, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame([(1, "http://e.org", None), (2, None, "x"), (None, "", "x")], "page_id long, url string, html string").write.parquet(f"{at}/pages.parquet")
     turns = [(1, 0, "user", None), (1, 1, "assistant", ""), (2, 0, None, "x"), (3, 0, "assistant", "</turn> \\<b>#")]
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{at}/conversations.parquet")
     return at
@@ -46,7 +47,7 @@ def folder(spark, docs, tmp_path_factory):
 @pytest.fixture(scope="module")
 def empty(spark, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("empty"))
-    for t in ("documents", "embeddings", "labels", "conversations"):
+    for t in ("documents", "embeddings", "labels", "conversations", "pages"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{at}/{t}.parquet")
     return at
 
@@ -137,3 +138,21 @@ def test_repeated_rows(docs):
     assert suffix.remove_repeats(twice).count() == len(DOCS) + 3
     assert mixing.mix(twice).count() == len(DOCS) + 3
     assert sharding.bounded_ring(twice.withColumn("size", F.lit(5)), "doc_id", "size", 3).groupBy("shard").agg(F.count_distinct("slot").alias("a"), F.count("*").alias("b")).where("a != b").isEmpty()
+
+
+def test_ids_beside_a_null_one_come_back_as_they_are(spark, tmp_path):
+    """All operators that carry ids, with ids that a double cannot hold."""
+    ids = [None, 2**53 + 1, 2**53 + 3, -(2**62) - 1]
+    at = str(tmp_path)
+    docs = spark.createDataFrame([(i, f"some words of text {k}", "s", "cs", 9) for k, i in enumerate(ids)], "doc_id long, text string, source string, lang string, n_chars long").coalesce(1)
+    docs.write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(2**53 + 1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame([(i, [1.0, k / 10], 0) for k, i in enumerate(ids)], "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{at}/embeddings.parquet")
+    spark.createDataFrame([(i, f"http://e.org/{k}", "x") for k, i in enumerate(ids)], "page_id long, url string, html string").coalesce(1).write.parquet(f"{at}/pages.parquet")
+    for name in ("op1_embedding_near_dedup", "op2_best_fit_packing", "op3_quality_classifier", "op4_minhash_near_dedup", "op5_token_counts", "op7_suffix_array_dedup", "op8_source_mixing", "op10_sharding", "op13_warc"):
+        got = q.QUERIES[name](spark, at)
+        assert Counter(r[0] for r in got.select(got.columns[0] if name != "op13_warc" else "page_id").collect()) == Counter(ids), name
+    packed = packing.pack(docs.select("doc_id", F.lit(5).alias("length"), F.col("doc_id").cast("double").alias("id")))
+    assert Counter(r.doc_id for r in packed.collect()) == Counter(ids)
+    near = q.QUERIES["op9_nearest_neighbours"](spark, at)
+    assert near.count() == 0  # none of these ids is divisible by 50
