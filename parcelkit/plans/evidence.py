@@ -111,7 +111,7 @@ def _h4(spark, sf_dir):
     t = view(spark, sf_dir, "v_tiles")
     corner = lambda dx, dy: g.point(F.col("x0") + dx, F.col("y0") + dy)
     ring = F.array(corner(0.0, 0.0), corner(4.0, 0.0), corner(4.0, 4.0), corner(0.0, 4.0), corner(0.0, 0.0))
-    rows = dissolve.dissolve(t.select("collection_id", "fill_hex", F.col("drawing_index").alias("polygon"), F.array(ring).alias("rings")), ["collection_id", "fill_hex"], least_area=0.0, cell=16.0)
+    rows = dissolve.dissolve(t.select("collection_id", "fill_hex", F.array(ring).alias("rings")), ["collection_id", "fill_hex"], least_area=0.0)
     border = F.aggregate(F.transform("rings", g.ring_perimeter), F.lit(0.0), lambda s, x: s + x)
     return rows.groupBy("collection_id", "fill_hex").agg(F.sum(F.col("area").cast(AREA)).cast(AREA).alias("area"), F.sum(border.cast(AREA)).cast(AREA).alias("perimeter"))
 

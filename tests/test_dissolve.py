@@ -42,3 +42,45 @@ def test_union(found, name, style):
 def test_straight_corners_go(found):
     """Points between pieces of one line are no corners."""
     assert len(found["two halves", None][0].rings[0]) == 5 and len(found["triangles", None][0].rings[0]) == 5
+
+
+RESIDUAL = {
+    # name: (source, generated, missing area and polygons with holes, extra area and polygons with holes)
+    "alike": ([[box(0, 0, 10, 10)]], [[box(0, 0, 5, 10)], [box(5, 0, 10, 10)]], (0, []), (0, [])),
+    "shifted": ([[box(0, 0, 10, 10)]], [[box(2, 3, 12, 13)]], (100 - 56, [0]), (100 - 56, [0])),
+    "nothing generated": ([[box(0, 0, 10, 10), box(4, 4, 6, 6)]], [], (96, [1]), (0, [])),
+    "nothing to find": ([], [[box(0, 0, 10, 10)], [box(9, 0, 12, 10)]], (0, []), (120, [0])),
+    "hole not kept": ([[box(0, 0, 20, 20), box(5, 5, 15, 15)]], [[box(0, 0, 20, 20)]], (0, []), (100, [0])),
+    "hole made": ([[box(0, 0, 20, 20)]], [[box(0, 0, 20, 20), box(5, 5, 15, 15)]], (100, [0]), (0, [])),
+    "inside": ([[box(0, 0, 20, 20)]], [[box(5, 5, 15, 15)]], (300, [1]), (0, [])),
+    "in two": ([[box(0, 0, 20, 4)]], [[box(8, -5, 12, 9)]], (64, [0, 0]), (40, [0, 0])),
+    "overlaps of the source": ([[box(0, 0, 6, 6)], [box(3, 0, 9, 6)], [box(0, 0, 6, 6)]], [[box(0, 3, 9, 6)]], (27, [0]), (0, [])),
+    "triangles": ([[[(0, 0), (10, 0), (10, 10), (0, 0)]]], [[[(0, 0), (10, 0), (0, 10), (0, 0)]]], (25, [0]), (25, [0])),
+}
+
+
+def _layer(spark, which):
+    rows = [(name, c, [[{"x": float(x), "y": float(y)} for x, y in r] for r in rings]) for name, case in RESIDUAL.items() for c in (None, "BI") for rings in case[which]]
+    return spark.createDataFrame(rows, f"name string, class string, rings {ds.RINGS}")
+
+
+def test_residuals(spark):
+    source, generated = _layer(spark, 0), _layer(spark, 1)
+    areas = {(r.name, r["class"], r.kind): r.area for r in ds.residual_areas(source, generated, ["name", "class"]).collect()}
+    found = {}
+    for r in ds.residuals(source, generated, ["name", "class"]).collect():
+        found.setdefault((r.name, r["class"], r.kind), []).append(r)
+    for name, case in RESIDUAL.items():
+        for c in (None, "BI"):
+            for kind, (area, holes) in zip(("missing", "extra"), case[2:], strict=True):
+                assert areas.get((name, c, kind), 0.0) == pytest.approx(area), (name, kind)
+                rows = found.get((name, c, kind), [])
+                assert sorted(r.holes for r in rows) == holes and sum(r.area for r in rows) == pytest.approx(area), (name, kind)
+
+
+def test_rings_over_many_tiles(spark):
+    """A long thin spiral of boxes: one ring far larger than a tile, cut at every level."""
+    boxes = [[box(k, 0, k + 1, 1)] for k in range(3000)] + [[box(0, 2, 3000, 3)], [box(0, 1, 1, 2)]]
+    rows = [("s", [[{"x": float(x), "y": float(y)} for x, y in r] for r in rings]) for rings in boxes]
+    out = ds.dissolve(spark.createDataFrame(rows, f"name string, rings {ds.RINGS}"), ["name"], cell=0.5).collect()
+    assert [(round(r.area, 6), r.holes, len(r.rings[0])) for r in out] == [(6001.0, 0, 9)]
