@@ -3,10 +3,10 @@
 import duckdb
 import pytest
 
-from parcelkit.plans import anchors, annotation, catalogue, evidence, overlays, paths, records, runs  # noqa: F401
+from parcelkit.plans import anchors, annotation, catalogue, evidence, exports, overlays, paths, records, runs  # noqa: F401
 
 SF = "/root/testdata/sf0.01"
-TABLES = "region nation customer supplier part orders lineitem events pages".split()
+TABLES = "region nation customer supplier part orders lineitem events pages documents".split()
 
 
 @pytest.fixture(scope="module")
