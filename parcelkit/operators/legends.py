@@ -108,3 +108,51 @@ def legend_items(symbols: DataFrame) -> DataFrame:
     rows = rows.withColumn("missing_roles", missing)
     whole = F.col("missing_roles") == ""
     return rows.withColumn("status", F.when(whole, "two_symbols_detected").otherwise("missing_expected_symbol_requires_review")).withColumn("confidence", F.when(whole, 0.78).otherwise(0.52)).drop("stav", "navrh")
+
+
+# What a crop without texts and a text without a crop are said to lack.
+NO_TEXT = "legend autocrop rendered, but text inventory found no target code/label candidate inside the PDF text layer"
+NO_SOURCE = "legend crop detector not implemented for this source; text inventory found no target legend/code candidate"
+NO_CROP = "legend text candidate exists, but no rendered legend autocrop was available"
+# End of fixed values.
+CROP_TEXTS, ANCHORS = 24, 20
+
+
+def legend_crops(specs: DataFrame, legends: DataFrame, collections: DataFrame) -> DataFrame:
+    """(collection_id, crop_id, source, cx0, cy0, cx1, cy1, extracted_text, matched_code, matched_label, anchor_text, codes, confidence, review_status, reason) for each of ``collections``.
+
+    ``specs``: text_specs; each text and font counts once, by its first span, if it has a code or a label. ``legends``: rows of select_legend whose
+    crop was rendered. A legend gives one auto crop with what its texts say (those inside it, or the first ANCHORS without any inside; at most CROP_TEXTS are spelled out), the first ANCHORS texts
+    one text_anchor crop each; a collection with neither has one unavailable row.
+    """
+    key = ["collection_id", "normalized", "font_name"]
+    named = specs.where("code is not null or label is not null")
+    first = named.groupBy(*key).agg(F.min_by(F.struct("span_index", "text", "code", "label", "x0", "y0", "x1", "y1"), "span_index").alias("t")).select("collection_id", "t.*")
+    boxes = legends.select("collection_id", "bx0", "by0", "bx1", "by1", F.col("score").alias("legend_score"))
+    rows = first.join(boxes.hint("shuffle_hash"), "collection_id", "left")
+    inside = F.coalesce(((F.col("x0") + F.col("x1")) / 2).between(F.col("bx0"), F.col("bx1")) & ((F.col("y0") + F.col("y1")) / 2).between(F.col("by0"), F.col("by1")), F.lit(False))
+    rows = rows.withColumn("inside", inside)
+    by = Window.partitionBy("collection_id")
+    rows = rows.withColumn("nth", F.row_number().over(by.orderBy("span_index"))).withColumn("any_inside", F.max("inside").over(by))
+    rows = rows.withColumn("cropped", F.when(F.col("any_inside"), F.col("inside")).otherwise(F.col("nth") <= ANCHORS))
+    rows = rows.withColumn("place", F.when(F.col("cropped"), F.sum(F.col("cropped").cast("int")).over(by.orderBy("span_index").rowsBetween(Window.unboundedPreceding, 0))))
+    at = lambda c: F.min_by(F.when(F.col("cropped"), F.col(c)), F.when(F.col("cropped") & F.col(c).isNotNull(), F.col("span_index")))
+    spelled = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("place") <= CROP_TEXTS, F.struct("place", "text")))), lambda x: x["text"]), " ")
+    said = rows.groupBy("collection_id").agg(spelled.alias("extracted_text"), at("code").alias("matched_code"), at("label").alias("matched_label"), at("text").alias("anchor_text"), F.count_distinct(F.when(F.col("cropped"), F.col("code"))).alias("codes"))
+    every = collections.select("collection_id").distinct().join(boxes.hint("shuffle_hash"), "collection_id", "left").join(said.hint("shuffle_hash"), "collection_id", "left")
+    legend, texts = F.col("legend_score").isNotNull(), F.col("codes").isNotNull()
+    auto = every.where(legend).select(
+        "collection_id", F.lit("legend-autocrop-0001").alias("crop_id"), F.lit("auto").alias("source"), *[F.col(f"b{c}").alias(f"c{c}") for c in ("x0", "y0", "x1", "y1")], F.nullif(F.trim("extracted_text"), F.lit("")).alias("extracted_text"), "matched_code", "matched_label",
+        "anchor_text", F.coalesce("codes", F.lit(0)).cast("int").alias("codes"), F.col("legend_score").alias("confidence"), F.lit("requires_review").alias("review_status"), F.when(~texts, NO_TEXT).alias("reason"),
+    )
+    anchors = rows.where(F.col("nth") <= ANCHORS).select(
+        "collection_id", F.format_string("legend-text-anchor-%04d", "nth").alias("crop_id"), F.lit("text_anchor").alias("source"), *[F.col(c).alias(f"c{c}") for c in ("x0", "y0", "x1", "y1")], F.col("text").alias("extracted_text"), F.col("code").alias("matched_code"),
+        F.col("label").alias("matched_label"), F.col("text").alias("anchor_text"), F.col("code").isNotNull().cast("int").alias("codes"), F.lit(0.4).alias("confidence"), F.lit("requires_review").alias("review_status"), F.when(F.col("legend_score").isNull(), NO_CROP).alias("reason"),
+    )
+    anchors = anchors.join(collections.select("collection_id").distinct().hint("shuffle_hash"), "collection_id", "left_semi")
+    blank = lambda kind: F.lit(None).cast(kind)
+    neither = every.where(~legend & ~texts).select(
+        "collection_id", F.lit("legend-unavailable-0001").alias("crop_id"), F.lit("unavailable").alias("source"), *[blank("double").alias(f"c{c}") for c in ("x0", "y0", "x1", "y1")], *[blank("string").alias(c) for c in ("extracted_text", "matched_code", "matched_label", "anchor_text")],
+        F.lit(0).alias("codes"), F.lit(0.0).alias("confidence"), F.lit("unavailable").alias("review_status"), F.lit(NO_SOURCE).alias("reason"),
+    )
+    return auto.unionByName(anchors).unionByName(neither)

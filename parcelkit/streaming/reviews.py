@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators import evidence as e
 from ..operators import intake as i
 
 
@@ -47,3 +48,28 @@ def read_state(spark: SparkSession, folder: str) -> DataFrame:
     rows = read_rows(spark, folder)
     names = [c for c in rows.columns if c not in ("collection_id", "target_id", "batch")]
     return rows.groupBy("collection_id", "target_id").agg(F.max_by(F.struct(*names), "batch").alias("m")).select("collection_id", "target_id", "m.*")
+
+
+def page_diagnosis(pages: DataFrame, drawings: DataFrame, spans: DataFrame, folder: str) -> StreamingQuery:
+    """Source types of new pages, and the diagnosis of every collection that gets any, from all its pages so far.
+
+    ``drawings`` and ``spans`` are tables that hold what the pages show. A batch writes its pages, then what follows from these and those of earlier batches, each to a
+    folder of its own number, so one that breaks off and runs again replaces its own rows and sees no later ones. :func:`read_diagnosis` gives the newest row of each collection.
+    """
+
+    def keep(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        e.source_type(batch).write.mode("overwrite").parquet(f"{folder}/pages/batch={number}")
+        so_far = spark.read.parquet(f"{folder}/pages").where(F.col("batch") <= number)
+        touched = so_far.where(F.col("batch") == number).select("collection_id").distinct()
+        of = lambda rows: rows.join(touched.hint("shuffle_hash"), "collection_id", "left_semi")
+        e.diagnose(of(drawings), of(spans), of(so_far)).write.mode("overwrite").parquet(f"{folder}/diagnosis/batch={number}")
+
+    return pages.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start()
+
+
+def read_diagnosis(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest diagnosis of every collection that :func:`page_diagnosis` has seen."""
+    rows = spark.read.parquet(f"{folder}/diagnosis")
+    names = [c for c in rows.columns if c not in ("collection_id", "batch")]
+    return rows.groupBy("collection_id").agg(F.max_by(F.struct(*names), "batch").alias("m")).select("collection_id", "m.*")
