@@ -327,3 +327,45 @@ def residuals(source: DataFrame, generated: DataFrame, keys: list[str], least_ar
     kinds = groups.select("gid", F.col("group"), F.explode(F.array(F.lit("missing"), F.lit("extra"))).alias("kind"))
     kinds = kinds.select(own.alias("gid"), F.struct("group.*", "kind").alias("group"))
     return _components(rings(named, _tile(cell, named)), kinds, [*keys, "kind"], least_area)
+
+
+#: Roles whose fragments are merged, the region they must lie in, fragments of a group at least, and sample ids kept of it at most.
+TRUSTED, BODY, LEAST, SAMPLES = ("area_fill_candidate", "tessellated_area_fragment"), "map_body_region", 2, 12
+
+
+def merged_features(fragments: DataFrame, metrics: DataFrame, style: list[str], least_area: float = 10.0) -> DataFrame:
+    """The primary features of each collection: (collection_id, mode, fid, ``style``, component, fragments, invalid, raw_area, components, samples, area, holes, rings).
+
+    ``fragments`` has collection_id, drawing_index, role, region, area, rings and the columns ``style``; ``metrics`` says by collection_id whether it is detected as a tessellation. Where it is, trusted fragments
+    of the map's body are dissolved by style: groups of fewer than LEAST go, as do components below ``least_area``. fid numbers a collection's components, those of the group with most fragments first. fragments, invalid
+    (without an area), raw_area and samples (the smallest drawing indices) are the group's, components how many it came to. Where it is not detected, each fragment passes as it is (mode raw_fragments).
+    """
+    rows = fragments.join(metrics.select("collection_id", "detected").hint("shuffle_hash"), "collection_id")
+    keys = ["collection_id", *style]
+    trusted = rows.where(F.col("detected") & F.col("role").isin(*TRUSTED) & (F.col("region") == BODY))
+    invalid = F.coalesce(F.col("area"), F.lit(0.0)) <= 0
+    near = Window.partitionBy(*keys).orderBy("drawing_index")
+    sample = trusted.select(*keys, "drawing_index", F.row_number().over(near).alias("_n")).where(F.col("_n") <= SAMPLES).groupBy(*keys).agg(F.array_sort(F.collect_list("drawing_index")).alias("samples"))
+    groups = trusted.groupBy(*keys).agg(F.count("*").alias("fragments"), F.count_if(invalid).alias("invalid"), F.sum(F.col("area").cast("decimal(18,3)")).alias("raw_area")).where(F.col("fragments") >= LEAST)
+    same = lambda a, b: [a[k].eqNullSafe(b[k]) for k in keys]
+    groups = written(groups.join(sample.hint("shuffle_hash"), same(groups, sample)).select(*[groups[k] for k in keys], "fragments", "invalid", "raw_area", "samples"), "groups")
+    worked = trusted.where(~invalid).join(groups.hint("shuffle_hash"), same(trusted, groups), "left_semi")
+    merged = dissolve(worked.select(*keys, "rings"), keys, least_area)
+    merged = merged.join(groups.hint("shuffle_hash"), same(merged, groups)).select(*[merged[k] for k in keys], "component", "rings", "area", "holes", "fragments", "invalid", "raw_area", "samples")
+    order = Window.partitionBy("collection_id").orderBy(F.desc("fragments"), *[F.asc_nulls_first(c) for c in style], "component")
+    merged = merged.withColumn("components", F.count("*").over(Window.partitionBy(*keys))).withColumn("fid", F.row_number().over(order)).withColumn("mode", F.lit("merged_polygons"))
+    raw = rows.where(~F.col("detected"))
+    passed = raw.select(
+        "collection_id", *style, F.lit(1).alias("component"), "rings", F.col("area").cast("double").alias("area"), F.greatest(F.size("rings") - 1, F.lit(0)).alias("holes"), F.lit(1).cast("long").alias("fragments"), invalid.cast("long").alias("invalid"),
+        F.col("area").cast("decimal(18,3)").cast("decimal(28,3)").alias("raw_area"), F.array("drawing_index").alias("samples"), F.lit(1).cast("long").alias("components"), F.col("drawing_index").cast("int").alias("fid"), F.lit("raw_fragments").alias("mode"),
+    )
+    columns = ["collection_id", "mode", "fid", *style, "component", "fragments", "invalid", "raw_area", "components", "samples", "area", "holes", "rings"]
+    return merged.select(*columns).unionByName(passed.select(*columns))
+
+
+def quality_gate(fragments: DataFrame, metrics: DataFrame, features: DataFrame) -> DataFrame:
+    """(collection_id, raw, primary_features, warn): warn where a detected tessellation has as many primary ``features`` (of :func:`merged_features`) as raw fragments, or more."""
+    raw = fragments.groupBy("collection_id").agg(F.count("*").alias("raw"))
+    primary = features.groupBy("collection_id").agg(F.count("*").alias("primary_features"))
+    rows = raw.join(primary.hint("shuffle_hash"), "collection_id", "left").join(metrics.select("collection_id", "detected").hint("shuffle_hash"), "collection_id").na.fill(0, ["primary_features"])
+    return rows.select("collection_id", "raw", "primary_features", (F.col("detected") & (F.col("primary_features") >= F.col("raw"))).alias("warn"))

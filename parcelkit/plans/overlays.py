@@ -55,3 +55,24 @@ def _m6_polygons(spark, sf_dir):
     """The same areas from the polygons themselves, holes taken off."""
     rows = dissolve.residuals(_tiles(spark, sf_dir), _boxes(spark, sf_dir), KEYS)
     return rows.groupBy(*KEYS, "kind").agg(F.sum(g.polygon_area(F.col("rings")).cast(AREA)).cast(AREA).alias("area"))
+
+
+#: Tiles as fragments: every other document is a tessellation, every seventh tile no trusted one.
+FRAGMENTS_SQL = """, fr AS (SELECT collection_id, fill_hex, x0, y0, drawing_index, collection_id % 2 = 0 AS detected, drawing_index % 7 <> 0 AS trusted FROM v_tiles),
+gr AS (SELECT collection_id, fill_hex, count(*) AS fragments, count(DISTINCT (x0, y0)) AS tiles FROM fr WHERE detected AND trusted GROUP BY ALL HAVING count(*) >= 2)"""
+
+
+def _tile_fragments(spark, sf_dir):
+    n = F.col("drawing_index")
+    role = F.when(n % 7 == 0, "text_mask_fragment").otherwise("tessellated_area_fragment")
+    tiles = view(spark, sf_dir, "v_tiles").select(*KEYS, "drawing_index", role.alias("role"), F.lit("map_body_region").alias("region"), F.lit(16.0).alias("area"), _box(F.col("x0"), F.col("y0"), F.lit(4.0), F.lit(4.0)))
+    return tiles, tiles.select("collection_id").distinct().withColumn("detected", F.col("collection_id") % 2 == 0)
+
+
+@query("h5_merged_features", FRAGMENTS_SQL + """ SELECT collection_id, 'merged_polygons' AS mode, fill_hex, fragments, CAST(fragments * 16 AS DECIMAL(18,3)) AS raw_area, CAST(tiles * 16 AS DECIMAL(18,3)) AS area FROM gr
+UNION ALL SELECT collection_id, 'raw_fragments', fill_hex, count(*), CAST(count(*) * 16 AS DECIMAL(18,3)), CAST(count(*) * 16 AS DECIMAL(18,3)) FROM fr WHERE NOT detected GROUP BY ALL""", ("v_tiles",))
+def _h5_merged(spark, sf_dir):
+    rows = dissolve.merged_features(*_tile_fragments(spark, sf_dir), ["fill_hex"])
+    merged = F.col("mode") == "merged_polygons"
+    count = lambda c: F.when(F.max(merged), F.max(c)).otherwise(F.sum(c))  # noqa: E731  a merged group's numbers stand in each of its components
+    return rows.groupBy("collection_id", "mode", "fill_hex").agg(count("fragments").cast("long").alias("fragments"), count("raw_area").cast(AREA).alias("raw_area"), F.sum(F.col("area").cast(AREA)).cast(AREA).alias("area"))

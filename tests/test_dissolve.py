@@ -84,3 +84,20 @@ def test_rings_over_many_tiles(spark):
     rows = [("s", [[{"x": float(x), "y": float(y)} for x, y in r] for r in rings]) for rings in boxes]
     out = ds.dissolve(spark.createDataFrame(rows, f"name string, rings {ds.RINGS}"), ["name"], cell=0.5).collect()
     assert [(round(r.area, 6), r.holes, len(r.rings[0])) for r in out] == [(6001.0, 0, 9)]
+
+
+def test_merged_features_and_gate(spark):
+    """Two groups of a tessellation, one of one fragment, a document that is none."""
+    boxes = [(1, k, "#a", "tessellated_area_fragment", box(k, 0, k + 1, 20)) for k in range(30)] + [(1, 100 + k, "#b", "area_fill_candidate", box(50 * k, 50, 50 * k + 5, 60)) for k in range(3)]
+    boxes += [(1, 200, "#c", "area_fill_candidate", box(0, 90, 9, 99)), (1, 201, "#a", "text_mask_fragment", box(40, 0, 41, 20)), (2, 1, "#a", "area_fill_candidate", box(0, 0, 1, 1)), (2, 2, None, "hatch_fragment", box(0, 0, 1, 1)), (3, 1, "#a", "area_fill_candidate", box(0, 0, 5, 5)), (3, 2, "#a", "area_fill_candidate", box(9, 9, 14, 14))]
+    rows = [(c, n, style, role, "map_body_region", float((r[2][0] - r[0][0]) * (r[2][1] - r[0][1])), [[{"x": float(x), "y": float(y)} for x, y in r]]) for c, n, style, role, r in boxes]
+    df = spark.createDataFrame(rows, f"collection_id int, drawing_index long, fill_hex string, role string, region string, area double, rings {ds.RINGS}")
+    metrics = spark.createDataFrame([(1, True), (2, False), (3, True)], "collection_id int, detected boolean")
+    found = ds.merged_features(df, metrics, ["fill_hex"])
+    got = sorted((r.collection_id, r.fid, r.mode, str(r.fill_hex), r.fragments, r.components, r.area, len(r.samples)) for r in found.collect())
+    assert got == [
+        (1, 1, "merged_polygons", "#a", 30, 1, 600.0, 12), *[(1, 2 + k, "merged_polygons", "#b", 3, 3, 50.0, 3) for k in range(3)], (2, 1, "raw_fragments", "#a", 1, 1, 1.0, 1), (2, 2, "raw_fragments", "None", 1, 1, 1.0, 1),
+        *[(3, 1 + k, "merged_polygons", "#a", 2, 2, 25.0, 2) for k in range(2)],
+    ]
+    gate = {r.collection_id: (r.raw, r.primary_features, r.warn) for r in ds.quality_gate(df, metrics, found).collect()}
+    assert gate == {1: (35, 4, False), 2: (2, 2, False), 3: (2, 2, True)}
