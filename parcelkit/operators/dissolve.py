@@ -91,7 +91,8 @@ def cut_segments(segments: DataFrame, cell: float) -> DataFrame:
     cuts = both.select("gid", *ENDS, F.explode(F.filter(F.array(crossed, touched(o["ax"], o["ay"]), touched(o["bx"], o["by"])), lambda k: k.isNotNull())).alias("cut"))
     none = [F.lit(None).cast("boolean").alias(s) for s in SIDES]
     rows = segments.select("gid", *ENDS, *SIDES, F.lit(None).cast("struct<t:double,x:double,y:double>").alias("cut")).unionByName(cuts.select("gid", *ENDS, *none, "cut"))
-    rows = rows.groupBy("gid", *ENDS).agg(*[F.bool_or(s).alias(s) for s in SIDES], F.collect_set("cut").alias("cuts"))
+    tasks = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(tasks, "gid", *ENDS).groupBy("gid", *ENDS).agg(*[F.bool_or(s).alias(s) for s in SIDES], F.collect_set("cut").alias("cuts"))
     stop = lambda t, x, y: F.struct(F.lit(t).alias("t"), x.alias("x"), y.alias("y"))
     rows = rows.withColumn("stops", F.array_sort(F.concat(F.array(stop(0.0, c["ax"], c["ay"]), stop(1.0, c["bx"], c["by"])), "cuts")))
     n = F.size("stops") - 1
@@ -217,12 +218,12 @@ def rings(pieces: DataFrame, tile: float) -> DataFrame:
     linked = pieces.join(ahead.hint("merge"), ["gid", "bx", "by"]).withColumn("turn", F.pmod(back - out, F.lit(2 * math.pi)))
     linked = linked.groupBy("gid", *ENDS).agg(F.min_by(F.struct("nx", "ny"), "turn").alias("to"))
     chains = linked.select("gid", name(*ENDS).alias("head"), name("bx", "by", "to.nx", "to.ny").alias("next"), F.array("ax").alias("xs"), F.array("ay").alias("ys"), F.lit(None).cast("double").alias("area"))
-    found = None
+    found, tasks = None, int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # rows are small beside the work: Spark would put too many into a task
     for level in range(3):
         if level < 2:
             size = tile * GROWTH**level
             chains = chains.withColumn("tx", F.floor(F.get("xs", F.lit(0)) / size)).withColumn("ty", F.floor(F.get("ys", F.lit(0)) / size))
-            chains = chains.groupBy("gid", "tx", "ty").applyInPandas(_joined, _CHAIN)
+            chains = chains.repartition(tasks, "gid", "tx", "ty").groupBy("gid", "tx", "ty").applyInPandas(_joined, _CHAIN)
         else:
             chains = chains.groupBy("gid").applyInPandas(_joined, _CHAIN)
         chains = written(chains, "chains")
