@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import styles as s
+from ..functions.vocabulary import CLASS_GROUPS
 from ..operators import documents as d
 from .views import view, with_views
 
@@ -248,9 +249,7 @@ def _j4(spark, sf_dir):
     return d.infer_type(rows).select("collection_id", "layer", "type_text", "type", "type_score", "n")
 
 
-# Prefixes of LAYER.CLASS with a group of their own.
-PREFIXES = [("RZVP.B", "B - Bydlení"), ("RZVP.S", "S - Smíšené Obytné"), ("RZVP.R", "R - Rekreace"), ("RZVP.Z", "Z - Zeleň"), ("RZVP.T", "T - Technická Infrastruktura"), ("RZVP.L", "L - Lesní"), ("RZVP.MO", "Q - Městských Sídel"), ("RZVP.M", "M - Smíšené Krajinné"), ("RZVP.X", "X - Specifické"), ("RZVP.K", "K - Volné Krajiny Městských Sídel"), ("ZMEN.K", "OTHER"), ("ZMEN.Z", "main"), ("ZMEN.T", "main"), ("CUST.", "CUSTOM")]
-# End of fixed values.
+PREFIXES = list(CLASS_GROUPS.items())
 PREFIX_ROWS = ", ".join(f"('{a}', '{b}')" for a, b in PREFIXES)
 
 
