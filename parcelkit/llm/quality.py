@@ -6,7 +6,8 @@ bytes of words show vocabulary that the target never uses: the tone weight is th
 it from drowning in what says nothing: a bucket's log ratio shrinks by its own uncertainty (to 0 below SURE standard deviations), and
 ratios above 1 count as 1, since common words of a long document would outweigh anything that tells against it. Models are
 hashed; their buckets grow with the documents. Weights are set against those of held-out target documents (their lowest SPARE is 0,
-their median 1); the smaller one counts. Gumbel top-k at TEMPERATURE draws as many documents as reach 0.
+their median 1); the smaller one counts. Gumbel top-k at TEMPERATURE draws as many documents as reach 0: a tenth of that span is the scale
+of the noise, so documents near 0 change places by chance, while one at -1 stays out but with a chance of e^-10.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from .common import written
 #: At most so many labelled rows, chosen by hash, say what target text is; they are broadcast (17 bytes each).
 LABELLED_ROWS = 50_000
 #: The count added to seen and to expected ones, standard deviations, the share of target documents that may fall below 0, temperature.
-PRIOR, SURE, SPARE, TEMPERATURE = 0.5, 2.0, 0.003, 0.005
+PRIOR, SURE, SPARE, TEMPERATURE = 0.5, 2.0, 0.003, 0.1
 #: Bits of a family's bucket numbers: LEAST_BITS up to 65,536 documents, one more for four times as many, MOST_BITS (67 MB of counts on the driver) at most.
 LEAST_BITS, MOST_BITS = 18, 22
 _CHUNK, _SALTS = 4096, 16

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from parcelkit.llm import quality
@@ -68,6 +69,33 @@ def test_draw(spark):
     assert {i for i, r in got.items() if r.kept} == {i for i, r in again.items() if r.kept}
 
 
+@pytest.mark.parametrize("sample_size", [None, 250])
+def test_weight_score_and_draw_row_by_row(spark, sample_size):
+    """From both weights of each row: levels against held-out target rows, noise by the hash's definition, the k best by sorting. Chance decides some rows, and not the threshold alone."""
+    at = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
+    got = quality.importance_sample(docs, labels, sample_size=sample_size).collect()
+    held = {r.id for r in labels.groupBy(F.col("doc_id").alias("id")).agg(F.min(((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")).alias("good")).where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(3)) == 0).where("good = 1").collect()}
+    wordless = {r.doc_id for r in docs.collect() if not WORD.search((r.text or "").encode())}
+    levels = []
+    for name in ("quality_weight", "tone_weight"):
+        lo, mid = np.quantile([r[name] for r in got if r.doc_id in held], [quality.SPARE, 0.5])
+        levels.append({r.doc_id: (r[name] - lo) / (mid - lo) for r in got})
+    seed = xxhash.xxh64_intdigest(b"gumbel", 42)
+    weight = {r.doc_id: 1.0 if r.doc_id in wordless else min(x[r.doc_id] for x in levels) for r in got}
+    score = {}
+    for i, w in weight.items():
+        h = xxhash.xxh64_intdigest(int(i).to_bytes(8, "little", signed=True), seed)
+        u = ((h - (h >> 63 << 64)) % 2**52 + 0.5) / 2**52
+        score[i] = w / quality.TEMPERATURE - math.log(-math.log(u))
+    k = sample_size or sum(w >= 0 for w in weight.values())
+    best = set(sorted(score, key=score.get, reverse=True)[:k])
+    for r in got:
+        assert r.weight == pytest.approx(weight[r.doc_id], rel=1e-9, abs=1e-9) and r.score == pytest.approx(score[r.doc_id], rel=1e-9, abs=1e-6) and r.kept == (r.doc_id in best)
+    crossed = best ^ set(sorted(weight, key=weight.get, reverse=True)[:k])
+    assert crossed and (sample_size or max(abs(weight[i]) for i in crossed) < 1.5)
+
+
 @pytest.mark.parametrize("values", [[], [3.0], [1.0] * 9000, [float(k * 7919 % 10_007) for k in range(10_000)], [0.0] * 5000 + [1e-300 * k for k in range(5000)] + [1e300]])
 def test_kth_largest(spark, values):
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
