@@ -51,8 +51,8 @@ def latest_overrides(overrides: DataFrame) -> DataFrame:
     return good.groupBy("collection_id", "target_kind", "target_id").agg(last).select("collection_id", "target_kind", "target_id", "o.*")
 
 
-def remap_features(features: DataFrame, classes: DataFrame, groups: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
-    """``features`` (collection_id, fid, layer, class, type_text, ref) with proposed_layer, _class, _type, _layer_class, _class_type, group_label, display_label, rule, score, review.
+def remap_features(features: DataFrame, classes: DataFrame, groups: DataFrame, overrides: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``features`` (collection_id, fid, layer, class, type_text, ref; columns of ``keep`` too) with proposed_layer, _class, _type, _layer_class, _class_type, group_label, display_label, rule, score, review.
 
     An override of the feature wins with score 1; then a listed class, a custom one with a ref, else UNMAPPED. ``classes``: (layer_class, label); ``groups``: (prefix, label).
     ``overrides``: of latest_overrides. Labels and groups are looked up once for each distinct (layer, class).
@@ -72,7 +72,7 @@ def remap_features(features: DataFrame, classes: DataFrame, groups: DataFrame, o
         "review": F.when(listed, unsure | (is_custom & ref.isNull())).when(custom, unsure).otherwise(True),
     }
     if overrides is None:
-        return rows.select("collection_id", "fid", *[c.alias(n) for n, c in auto.items()])
+        return rows.select("collection_id", "fid", *keep, *[c.alias(n) for n, c in auto.items()])
     said = overrides.where("target_kind = 'feature'").withColumnRenamed("target_id", "fid").drop("target_kind")
     rows = rows.join(said.hint("shuffle_hash"), ["collection_id", "fid"], "left")
     o = {
@@ -80,7 +80,23 @@ def remap_features(features: DataFrame, classes: DataFrame, groups: DataFrame, o
         "proposed_class_type": class_type(F.col("override_class"), F.col("override_type")), "group_label": F.col("override_group"), "display_label": F.col("override_label"),
         "rule": F.lit("manual_override"), "score": F.lit(1.0), "review": F.lit(False),
     }
-    return rows.select("collection_id", "fid", *[F.when(F.col("override_id").isNotNull(), o[n]).otherwise(c).alias(n) for n, c in auto.items()])
+    return rows.select("collection_id", "fid", *keep, *[F.when(F.col("override_id").isNotNull(), o[n]).otherwise(c).alias(n) for n, c in auto.items()])
+
+
+def definition_candidates(features: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row per vector key (style, layer, class, type, has_fill) and per text key (layer, class, type, text_id) of a collection, each with its count, its first feature, and how that one is remapped.
+
+    ``features``: collection_id, fid, layer, class, type_text, text_id, style_hex, has_fill. text_role is change_label for layer ZMEN, else source_label, and null for
+    vector keys; a missing style is not_exposed. Features without text_id give no text key. Two aggregates, one remap over their union.
+    """
+    f = features.withColumn("source_style_key", F.coalesce("style_hex", F.lit("not_exposed"))).withColumn("ref", F.nullif(F.col("text_id"), F.lit("")))
+    count = [F.count("*").alias("sample_count"), F.min("fid").alias("fid")]
+    vector = f.groupBy("collection_id", "source_style_key", "layer", "class", "type_text", "has_fill").agg(*count, F.min_by("ref", "fid").alias("ref")).withColumn("kind", F.lit("vector"))
+    texts = f.where("ref is not null").groupBy("collection_id", "layer", "class", "type_text", "ref").agg(*count).withColumn("kind", F.lit("text")).withColumn("sample_text", F.col("ref"))
+    texts = texts.withColumn("text_role", F.when(F.col("layer") == "ZMEN", "change_label").otherwise("source_label"))
+    rows = written(vector.unionByName(texts, allowMissingColumns=True), "candidates")
+    keep = ("kind", "source_style_key", "has_fill", "sample_text", "text_role", "sample_count", "layer", "class", "type_text")
+    return remap_features(rows, classes, groups, keep=keep).withColumnRenamed("fid", "first_fid")
 
 
 def validate_polygon_edits(edits: DataFrame, most: float = 25.0) -> DataFrame:

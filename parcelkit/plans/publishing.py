@@ -101,6 +101,22 @@ def _j6_features(spark, sf_dir):
     return p.remap_features(_features(spark, sf_dir), *_vocabulary(spark), p.latest_overrides(_overrides(spark, sf_dir)))
 
 
+CANDIDATES = TYPED + VALUES + """, f AS (SELECT *, CAST(fid % 8 AS INTEGER) AS coll, layer || '.' || coalesce(class, 'UNMAPPED') AS lc FROM y),
+ca AS (SELECT 'vector' AS kind, coll, coalesce(style_hex, 'not_exposed') AS source_style_key, style_hex IS NOT NULL AS has_fill, NULL AS sample_text, NULL AS text_role, layer, class, type_text, count(*) AS sample_count, min(fid) AS first_fid FROM f GROUP BY ALL
+UNION ALL SELECT 'text', coll, NULL, NULL, text_id, CASE WHEN layer = 'ZMEN' THEN 'change_label' ELSE 'source_label' END, layer, class, type_text, count(*), min(fid) FROM f WHERE text_id IS NOT NULL GROUP BY ALL)
+SELECT ca.kind, ca.coll AS collection_id, ca.source_style_key, ca.has_fill, ca.sample_text, ca.text_role, ca.layer, ca.class, ca.type_text, ca.sample_count, ca.first_fid,
+CASE WHEN cv.label IS NOT NULL THEN 'class_map' WHEN f.layer = 'CUST' AND f.text_id IS NOT NULL THEN 'custom_ref' ELSE 'unmapped' END AS rule, f.type AS proposed_type,
+CASE WHEN cv.label IS NOT NULL THEN least(0.96::DOUBLE, 0.75::DOUBLE + f.type_score / 4) WHEN f.layer = 'CUST' AND f.text_id IS NOT NULL THEN 0.78::DOUBLE ELSE f.type_score / 2 END AS score
+FROM ca JOIN f ON f.fid = ca.first_fid LEFT JOIN cv ON cv.layer_class = f.lc"""
+
+
+@query("e13_whole_candidates", CANDIDATES, FEATURES)
+def _e13_whole(spark, sf_dir):
+    rows = _features(spark, sf_dir).withColumn("has_fill", F.col("style_hex").isNotNull())
+    out = p.definition_candidates(rows, *_vocabulary(spark))
+    return out.drop("proposed_layer", "proposed_class", "proposed_layer_class", "proposed_class_type", "group_label", "display_label", "review")
+
+
 @query("m1_polygon_edits", EV + ED + " SELECT manual_edit_id, area_before, area_after, change, errors, status FROM st", EVENTS)
 def _m1_polygons(spark, sf_dir):
     rows = p.validate_polygon_edits(_edits(spark, sf_dir))

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from parcelkit.plans import anchors, annotation, catalogue, definitions, evidence, exports, overlays, pages, paths, publishing, records, runs  # noqa: F401
+from parcelkit.plans import anchors, annotation, catalogue, definitions, evidence, exports, overlays, pages, paths, publishing, records, runs, texts  # noqa: F401
 
 SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events pages documents".split()
