@@ -2,7 +2,7 @@
 
 A text is cut into pre-tokens as the vocabulary itself does it, in any script: no token crosses white space, and in Latin words none crosses
 the vocabulary's own cuts, so a text's ids are those of its pre-tokens, one after the other. Two tiers know a pre-token: a compact table of frequent ones, broadcast
-once, and a bounded cache in each worker, filled by the library. No pre-token is ever shuffled. The first tier comes from a bounded
+once, and a bounded cache in each worker, filled by the library; beside it the worker keeps what the words between white space came to. No pre-token is ever shuffled. The first tier comes from a bounded
 sample of documents; it only saves work, whatever it holds the results are the library's.
 """
 
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed bounds: documents of the sample that names frequent pre-tokens, the longest one in it, pre-tokens of the broadcast table, of a worker's cache, and the longest cached one.
+#: Fixed bounds: documents of the sample that names frequent pre-tokens, the longest one in it, pre-tokens of the broadcast table, of a worker's cache (which holds twice as many words), and the longest cached one.
 SAMPLE_ROWS, SAMPLE_CHARS, TABLE_ROWS, CACHE_ROWS, LONGEST = 2000, 20_000, 32_768, 400_000, 64
 
 #: The vocabulary's own cut of lower-cased text, for Latin letters: fixed by the vocabulary's file.
@@ -31,17 +31,16 @@ SPACE = re.compile(r"[^\S\x1c-\x1f]+")
 BETWEEN = "\x7f"
 
 
-def pretokens(text: str) -> list[str]:
-    """The text's pre-tokens as the vocabulary cuts them; words (between white space) with a character of ODD stay whole, in any script."""
+def plain_words(text: str) -> list[str]:
+    """The text's words (between white space), in lower case; those with a character of ODD as they are, in any script."""
     if not ODD.search(text):
-        return PRETOKEN.findall(text.lower())
-    out: list[str] = []
-    for w in SPACE.split(text):
-        if ODD.search(w):
-            out.append(w)
-        else:
-            out += PRETOKEN.findall(w.lower())
-    return out
+        return text.lower().split()
+    return [w if ODD.search(w) else w.lower() for w in SPACE.split(text) if w]
+
+
+def pretokens(text: str) -> list[str]:
+    """The text's pre-tokens as the vocabulary cuts them; words with a character of ODD stay whole."""
+    return [x for w in plain_words(text) for x in ([w] if ODD.search(w) else PRETOKEN.findall(w))]
 
 
 class WordEncoder:
@@ -56,7 +55,7 @@ class WordEncoder:
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         mark = self.library.encode(BETWEEN, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
-        self.first, self.known = first or {}, dict(first or {})
+        self.first, self.known, self.words = first or {}, dict(first or {}), {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids that the library gives for each text, special strings handled as its default."""
@@ -97,17 +96,26 @@ class WordEncoder:
 
     def many(self, texts: list[str]) -> list:
         """The ids, or numbers of ids, of texts."""
-        cut = [pretokens(x) for x in texts]
+        cut = [plain_words(x) for x in texts]
         some = set().union(*cut)
+        new = list(some.difference(self.words))
+        if len(self.words) + len(new) > 2 * CACHE_ROWS:  # the words of this run stay
+            self.words = {w: self.words[w] for w in some.intersection(self.words)}
         if len(self.known) > CACHE_ROWS:
             self.known = dict(self.first)
-        known, new = self.known, list(some.difference(self.known))
-        known.update(self.learn(new))
-        get = known.__getitem__
-        out = [sum(map(get, words)) for words in cut] if self.lengths else [b"".join(map(get, words)) for words in cut]
-        for w in new:
-            if len(w) > LONGEST:
-                del known[w]
+        odd = ODD.search(" ".join(new)) is not None
+        parts = [[w] if odd and ODD.search(w) else PRETOKEN.findall(w) for w in new]
+        self.known.update(self.learn(list({x for p in parts for x in p}.difference(self.known))))
+        get, add = self.known.__getitem__, sum if self.lengths else b"".join
+        self.words.update((w, get(p[0]) if len(p) == 1 else add(map(get, p))) for w, p in zip(new, parts, strict=True))
+        word = self.words.__getitem__
+        out = [add(map(word, x)) for x in cut]
+        for w, p in zip(new, parts, strict=True):
+            if len(w) > LONGEST:  # only such words have parts as long
+                del self.words[w]
+                for x in p:
+                    if len(x) > LONGEST:
+                        self.known.pop(x, None)
         return out
 
     def batch(self, texts: list[str], most: int = 1_000_000) -> Iterator:
