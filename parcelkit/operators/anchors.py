@@ -49,6 +49,31 @@ def evidence_rows(drawings: DataFrame, anchors: DataFrame) -> DataFrame:
     return drawn.unionByName(anchors.select("collection_id", F.lit("text").alias("source"), F.col("span_index").alias("idx"), "x0", "y0", "x1", "y1", "evidence", F.lit(None).cast("double").alias("stroke_width"), "normalized_label"))
 
 
+def evidence_records(drawings: DataFrame, anchors: DataFrame) -> DataFrame:
+    """The whole index: drawings (of ``evidence_index``, with operations: kinds of path items, sorted, joined by commas) and texts (of :func:`text_anchors`, with color_hex) in one table.
+
+    A drawing is closed with a fill or a rectangle among its operations, open with a stroke otherwise. Null or empty dashes are solid, null or empty operations unknown,
+    null pages page 1, null widths 0. Texts have none of a drawing's columns but the fill, which is their colour. Ids keep six digits or more.
+    """
+    filled, width = F.coalesce(F.col("fill_hex") != "", F.lit(False)), F.coalesce("stroke_width", F.lit(0.0))
+    closed = filled | F.coalesce(F.array_contains(F.split("operations", ","), "re"), F.lit(False))
+    stroked = F.coalesce(F.col("stroke_hex") != "", F.lit(False)) | (width != 0)
+    given = lambda c, other: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(other))
+    page = F.coalesce(F.col("page_number"), F.lit(1)).cast("int").alias("page_number")
+    idx = lambda c, prefix: [F.format_string(f"{prefix}-%06d", F.col(c).cast("long")).alias("evidence_id"), F.col(c).cast("long").alias("z_order")]
+    none = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    drawn = drawings.select(
+        "collection_id", F.lit("drawing").alias("source"), *idx("drawing_index", "draw"), page, "x0", "y0", (F.col("x0") + F.col("w")).alias("x1"), (F.col("y0") + F.col("h")).alias("y1"),
+        F.when(closed, "closed_path").otherwise("open_path").alias("geometry_type"), given("operations", "unknown").alias("operation"), "fill_hex", "stroke_hex", F.round(width, 4).alias("stroke_width"),
+        given("dashes", "solid").alias("dash_pattern"), closed.alias("closed"), (stroked & ~closed).alias("open"), none("text", "string"), "evidence", none("normalized_label", "string"),
+    )
+    told = anchors.select(
+        "collection_id", F.lit("text").alias("source"), *idx("span_index", "text"), page, "x0", "y0", "x1", "y1", F.lit("text").alias("geometry_type"), F.lit("text_span").alias("operation"), F.col("color_hex").alias("fill_hex"),
+        none("stroke_hex", "string"), none("stroke_width", "double"), none("dash_pattern", "string"), F.lit(False).alias("closed"), F.lit(False).alias("open"), F.col("raw_text").alias("text"), "evidence", "normalized_label",
+    )
+    return drawn.unionByName(told)
+
+
 def experiment_inputs(evidence: DataFrame, roi: DataFrame, profiles: DataFrame) -> DataFrame:
     """One row per collection of ``profiles`` (hatches, dots, thick, methods boolean) with roi_hatches, labels, target_labels, has_roi and the box.
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import geometry as g
 from ..functions import styles as s
+from . import evidence as e
+from . import paths as p
 
 # Colours of classes, the colour of unmapped ones and of strokes; methods of an extraction, in their order.
 CLASS_COLORS = {"BI": "#d9483f", "BV": "#ce6f58", "BH": "#c75c91", "BU": "#d85b52", "BX.c": "#b95672", "BX.p": "#b66b8a", "BX.r": "#a26192", "RI": "#86b37f", "RX": "#74a36d", "SV": "#d98989", "SC": "#cc7f9f", "SX": "#bb8fce"}
@@ -13,6 +16,8 @@ UNMAPPED_COLOR, STROKE_COLOR = "#9ca3af", "#222222"
 METHODS = ["fill_style_polygonization", "hatch_pattern_segmentation", "dotted_boundary_segmentation", "thick_line_boundary_segmentation", "text_anchor_region_assignment", "legend_style_mapping", "raster_assisted_segmentation", "manual_split_required"]
 # End of fixed values.
 ROLES = ("stav_stabil", "navrh")
+#: Classes of holes and the columns that count them.
+HOLE_COUNTS = [("label_mask_rectangle", "label_masks"), ("hatch_grid_artifact", "hatch_grids"), ("white_background_artifact", "white_backgrounds"), ("real_planning_void", "real_voids"), ("unknown_review_required", "unknown_holes")]
 
 
 def artifact_flags() -> Column:
@@ -173,3 +178,35 @@ def legend_totals(items: DataFrame) -> DataFrame:
     """One row per collection: legend items, those with both symbols, missing symbols and extras."""
     missing = F.when(F.col("missing_roles") == "", 0).otherwise(F.size(F.split("missing_roles", ",")))
     return items.groupBy("collection_id").agg(F.count("*").alias("items"), F.count_if(F.col("missing_roles") == "").alias("pairs"), F.sum(missing).alias("missing"), F.sum("extras").alias("extras"))
+
+
+def visual_artifacts(raw: DataFrame, annotated: DataFrame, key: list[str]) -> DataFrame:
+    """The whole report on artifacts, one row per collection of ``raw`` (style_hex, area, role): its white fragments and masks, and of the primary features ``annotated``
+    (of :func:`annotate`, with rings and area, told apart by ``key``) their shapes, holes by class, voids and candidates.
+
+    Holes, features and fragments are counted apart and then joined, one row per collection each. Collections without primary features have zeros; null areas and
+    roles count as none; a feature without rings has no holes. Areas are summed to three digits.
+    """
+    area, count = lambda c: F.coalesce(F.sum(c.cast("decimal(18,3)")), F.lit(0)).cast("decimal(18,3)"), lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    white = s.near_white(F.col("style_hex"))
+    fragments = raw.groupBy("collection_id").agg(count(white).alias("white_fragments"), area(F.when(white, F.col("area"))).alias("white_area"), count(F.col("role") == "background_mask_fragment").alias("background_masks"))
+    review = lambda flag: count(F.array_contains("flags", flag))
+    shapes = p.void_metrics(annotated).groupBy("collection_id").agg(
+        count(white).alias("trusted_white"), F.round(F.max("spike"), 4).alias("max_spike"), count(F.col("spike") >= 0.55).alias("spikes"), review("needle_spike_candidate").alias("spike_reviews"),
+        count(F.col("needle")).alias("needles"), count(F.col("sliver")).alias("slivers"), count(F.col("corridor")).alias("corridors"), F.sum("triangular").alias("triangular_voids"), F.sum("small").alias("small_voids"),
+        F.sum("to_review").alias("void_reviews"), area(F.col("area")).alias("_area"), count(~F.col("export_eligible")).alias("export_blocked"), review("artifact_requires_review").alias("artifact_reviews"),
+    )
+    holes = e.hole_classes(annotated.select(*key, "rings")).withColumn("_box", g.bbox_area(g.bbox(F.array("hole"))))
+    rect = (F.col("hole_area") > 0) & (F.col("_box") > 0) & (F.abs(F.col("hole_area") - F.col("_box")) / F.greatest("_box", F.lit(1.0)) <= 0.08)
+    per = holes.groupBy(*key).agg(
+        F.count("*").alias("holes"), count(rect).alias("rectangular"), area(F.when(rect, F.col("hole_area"))).alias("rect_area"), area(F.col("hole_area")).alias("_void"), count(F.col("removable")).alias("removed_holes"),
+        *[count(F.col("hole_class") == c).alias(n) for c, n in HOLE_COUNTS],
+    )
+    sums = ["holes", "rectangular", "rect_area", "_void", "removed_holes", *[n for _, n in HOLE_COUNTS]]
+    of_holes = per.groupBy("collection_id").agg(*[F.sum(c).alias(c) for c in sums], count(F.col("removed_holes") > 0).alias("cleaned_candidates"))
+    rows = fragments.join(shapes.hint("shuffle_hash"), "collection_id", "left").join(of_holes.hint("shuffle_hash"), "collection_id", "left").na.fill(0)
+    share = lambda c: F.col(c).cast("double") / F.greatest((F.col("_area") + F.col(c)).cast("double"), F.lit(1.0))
+    rows = rows.withColumn("rect_ratio", F.round(share("rect_area"), 6)).withColumn("void_ratio", F.round(share("_void"), 6))
+    rows = rows.withColumn("rect_reviews", F.when(share("rect_area") >= 0.025, F.col("rectangular")).otherwise(0)).withColumn("hole_reviews", F.col("unknown_holes"))
+    matches = F.when(F.col("void_reviews") > 0, "requires_plan_visual_review").otherwise("not_applicable")
+    return rows.withColumn("void_matches_plan", matches).withColumn("void_source", F.when(F.col("holes") > 0, "interior_ring_from_merged_fill")).drop("_area", "_void")

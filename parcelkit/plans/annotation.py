@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import annotation as an
 from ..operators import evidence as e
 from ..operators import legends as lg
-from .catalogue import FRAGMENTS, LEGEND, SHAPE, _profile, query
+from .catalogue import FRAGMENTS, LEGEND, SHAPE, _profile, _roles, query
 from .records import SYMBOLS
 from .views import view
 
@@ -60,6 +60,17 @@ def _i9(spark, sf_dir):
     return an.artifact_diagnostics(_features(spark, sf_dir), _annotated(spark, sf_dir))
 
 
+@query("i9_visual_artifacts", FOUND + """, k AS (SELECT collection_id, count(*) FILTER (white) AS white_fragments, CAST(coalesce(sum(CAST(outer_area AS DECIMAL(18,3))) FILTER (white), 0) AS DECIMAL(18,3)) AS white_area, count(*) FILTER (white AND w * h >= 1020000) AS background_masks, count(*) FILTER (white) AS trusted_white,
+round(max(spike), 4) AS max_spike, count(*) FILTER (spike >= 0.55) AS spikes, count(*) FILTER (needle) AS spike_reviews, count(*) FILTER (needle) AS needles, count(*) FILTER (sliver) AS slivers, count(*) FILTER (corridor) AS corridors, count(*) FILTER (small) AS small_voids, count(*) FILTER (small) AS void_reviews,
+count(*) AS export_blocked, count(*) FILTER (artifact) AS artifact_reviews, count(*) FILTER (holed) AS holes, CAST(coalesce(sum(CAST(w * h / 4 AS DECIMAL(18,3))) FILTER (holed), 0) AS DECIMAL(18,3)) AS rect_area, sum(CAST(area AS DECIMAL(18,3))) AS total,
+count(*) FILTER (small) AS hatch_grids, count(*) FILTER (holed AND NOT small) AS unknown_holes FROM x GROUP BY collection_id),
+r AS (SELECT *, rect_area::DOUBLE / greatest((total + rect_area)::DOUBLE, 1) AS ratio FROM k)
+SELECT * EXCLUDE (total, ratio), 0 AS triangular_voids, holes AS rectangular, round(ratio, 6) AS rect_ratio, round(ratio, 6) AS void_ratio, CASE WHEN ratio >= 0.025 THEN holes ELSE 0 END AS rect_reviews, hatch_grids AS removed_holes, hatch_grids AS cleaned_candidates, unknown_holes AS hole_reviews,
+0 AS label_masks, 0 AS white_backgrounds, 0 AS real_voids, CASE WHEN void_reviews > 0 THEN 'requires_plan_visual_review' ELSE 'not_applicable' END AS void_matches_plan, CASE WHEN holes > 0 THEN 'interior_ring_from_merged_fill' END AS void_source FROM r""", BOTH)
+def _i9_whole(spark, sf_dir):
+    return an.visual_artifacts(_roles(spark, sf_dir).withColumn("style_hex", F.col("fill_hex")), _annotated(spark, sf_dir), ["collection_id", "drawing_index"])
+
+
 METHOD = FOUND + """, y AS (SELECT *, (white OR coalesce(stroke_hex = '#ffffff', false)) AND (area <= 250 OR least(w, h) <= 4) AS hatch, coalesce(fill_hex = '#000000' OR stroke_hex = '#222222', false) AS black FROM x),
 z AS (SELECT collection_id, count(*) AS objects, count(*) FILTER (hatch) AS hatches, count(*) FILTER (black AND area <= 180 AND greatest(w, h) <= 20) AS dots, count(*) FILTER (black AND (coalesce(stroke_width, 0) >= 1.8 OR least(w, h) <= 3) AND area <= 1200) AS thick,
   count(*) FILTER (small) AS hatch_holes, count(*) FILTER (target_code IS NOT NULL) AS anchors FROM y GROUP BY collection_id)"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import styles as s
-from ..operators import dissolve
+from ..operators import anchors, dissolve
 from ..operators import documents as d
 from ..operators import evidence as e
 from .catalogue import AREA, CODED, DASHED, FRAGMENTS, LEGEND, METRICS, ROLES, SHAPE, TYPED, _profile, _roles, query
@@ -209,6 +209,18 @@ def _k1(spark, sf_dir):
     return _evidence(spark, sf_dir).select("collection_id", "drawing_index", "evidence")
 
 
+@query("k1_evidence_records", EVIDENCE + """, s AS (SELECT *, trim(raw_text) AS t FROM v_spans), m AS (SELECT *, nullif(regexp_extract(t, '(?i)\\b(BX[.\\s-]?[pc]|Z[.\\s-]?\\d+[a-z]?)\\b'), '') AS hit FROM s)
+SELECT collection_id, 'drawing' AS source, printf('draw-%06d', drawing_index) AS evidence_id, drawing_index AS z_order, 1 AS page_number, x0, y0, x0 + w AS x1, y0 + h AS y1, CASE WHEN fill_hex IS NOT NULL OR shape = 'rect' THEN 'closed_path' ELSE 'open_path' END AS geometry_type,
+CASE shape WHEN 'rect' THEN 're' ELSE 'l' END AS operation, fill_hex, stroke_hex, round(stroke_width, 4) AS stroke_width, coalesce(dashes, 'solid') AS dash_pattern, fill_hex IS NOT NULL OR shape = 'rect' AS closed, fill_hex IS NULL AND shape <> 'rect' AND (stroke_hex IS NOT NULL OR stroke_width <> 0) AS open,
+NULL AS text, evidence, NULL AS normalized_label FROM ev
+UNION ALL SELECT collection_id, 'text', printf('text-%06d', span_index), span_index, 1, x0, y0, x1, y1, 'text', 'text_span', CASE WHEN span_index % 3 = 0 THEN '#222222' END, NULL, NULL, NULL, false, false, raw_text, CASE WHEN hit IS NULL THEN 'unknown' ELSE 'text_anchor' END,
+CASE WHEN hit = 'BX p' THEN 'BX.p' ELSE hit END FROM m""", ("v_fragments", "v_spans"))
+def _k1_whole(spark, sf_dir):
+    drawn = _evidence(spark, sf_dir).withColumn("operations", F.when(F.col("shape") == "rect", "re").otherwise("l")).withColumn("page_number", F.lit(1))
+    texts = view(spark, sf_dir, "v_spans").withColumn("color_hex", F.when(F.col("span_index") % 3 == 0, "#222222")).withColumn("page_number", F.lit(1))
+    return anchors.evidence_records(drawn, anchors.text_anchors(texts))
+
+
 @query("k3_evidence_summary", EVIDENCE + """, nn AS (SELECT *, row_number() OVER (PARTITION BY collection_id, evidence ORDER BY drawing_index) AS k FROM ev)
 SELECT collection_id, evidence, count(*) AS n, string_agg(CASE WHEN k <= 10 THEN CAST(drawing_index AS VARCHAR) END, ',' ORDER BY drawing_index) AS samples FROM nn GROUP BY ALL""", FRAGMENTS)
 def _k3(spark, sf_dir):

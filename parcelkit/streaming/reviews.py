@@ -6,6 +6,7 @@ table it has made so far. Offsets and state live in ``folder``/offsets, so a que
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -28,26 +29,57 @@ def review_log(events: DataFrame, folder: str, late: str = "7 days") -> Streamin
     return _into(events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"]), folder)
 
 
-def latest_state(events: DataFrame, folder: str) -> StreamingQuery:
-    """The last action of every target; each batch appends the targets it changed. A batch that is run again replaces its own rows."""
+def latest_state(events: DataFrame, folder: str, every: int = 10) -> StreamingQuery:
+    """The last action of every target; each batch writes the targets it changed. A batch that is run again replaces its own rows.
+
+    Every ``every`` batches the state so far is written as one table and then marked as whole, so that :func:`read_state` reads that
+    table and fewer than ``every`` batches, however long the stream has run. A table that breaks off has no mark and is written again.
+    """
     last = F.max_by(F.struct("event_id", "action", "area_after"), F.struct("ts", "event_id"))
     state = events.groupBy("collection_id", "target_id").agg(F.count("*").alias("events"), last.alias("m"))
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.select("collection_id", "target_id", "events", "m.*").write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+        spark = batch.sparkSession
+        if number % every == every - 1 and _whole(spark, folder) < number:
+            _newest(spark, folder, number).write.mode("overwrite").parquet(f"{folder}/whole/{number}")
+            spark.range(1).select(F.lit(number).cast("long").alias("batch")).write.mode("append").parquet(f"{folder}/marks")
 
     return state.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start()
 
 
+def _whole(spark: SparkSession, folder: str) -> int:
+    """The last batch whose state is written as one table; -1 for none."""
+    try:
+        marks = spark.read.schema("batch long").parquet(f"{folder}/marks")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return -1
+    found = marks.agg(F.max("batch")).first()[0]
+    return -1 if found is None else found
+
+
+def _newest(spark: SparkSession, folder: str, upto: int | None = None) -> DataFrame:
+    """The newest row of every target up to a batch: from the last whole table and the batches after it."""
+    whole = _whole(spark, folder)
+    rows = read_rows(spark, folder).where(F.col("batch") > whole)
+    names = [c for c in rows.columns if c != "batch"]
+    if whole >= 0:
+        rows = rows.unionByName(spark.read.parquet(f"{folder}/whole/{whole}").withColumn("batch", F.lit(whole)))
+    if upto is not None:
+        rows = rows.where(F.col("batch") <= upto)
+    values = [c for c in names if c not in ("collection_id", "target_id")]
+    return rows.groupBy("collection_id", "target_id").agg(F.max_by(F.struct(*values), "batch").alias("m")).select("collection_id", "target_id", "m.*")
+
+
 def read_rows(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/rows")
 
 
 def read_state(spark: SparkSession, folder: str) -> DataFrame:
     """The newest row of every target that :func:`latest_state` has written."""
-    rows = read_rows(spark, folder)
-    names = [c for c in rows.columns if c not in ("collection_id", "target_id", "batch")]
-    return rows.groupBy("collection_id", "target_id").agg(F.max_by(F.struct(*names), "batch").alias("m")).select("collection_id", "target_id", "m.*")
+    return _newest(spark, folder)
 
 
 def page_diagnosis(pages: DataFrame, drawings: DataFrame, spans: DataFrame, folder: str) -> StreamingQuery:

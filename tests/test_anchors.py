@@ -1,6 +1,7 @@
 """Anchors, crops and labels on literal rows: nulls, empty texts, ties and missing partners."""
 
 from parcelkit.operators import anchors as a
+from parcelkit.operators import evidence as e
 
 
 def test_anchor_forms(spark):
@@ -23,3 +24,21 @@ def test_labels_of_rows(spark):
     rows = spark.createDataFrame([(1, "BI", 95.0, 120.0), (1, "B", 200.0, 220.0)], "collection_id int, code string, top double, bottom double")
     got = {r.code: (r.label, r.lines, r.status) for r in a.legend_labels(spans, rows, (0.0, 0.0, 400.0, 400.0)).collect()}
     assert got == {"BI": ("Pole a dům", 2, "ok"), "B": (None, 0, "agent_proposed")}
+
+
+def test_evidence_records(spark):
+    """Closed by fill or by a rectangle, open by a stroke or a width, neither without any; nulls take their defaults; long numbers keep all digits."""
+    kind = "collection_id int, drawing_index long, page_number int, x0 double, y0 double, w double, h double, operations string, fill_hex string, stroke_hex string, stroke_width double, dashes string"
+    rows = [
+        (1, 1, 2, 0.0, 0.0, 5.0, 5.0, "l", "#d9483f", None, None, None), (1, 2, None, 0.0, 0.0, 5.0, 5.0, "l,re", None, "#123456", 1.23456, "[4 2] 0"),
+        (1, 3, None, 0.0, 0.0, 5.0, 5.0, None, None, None, 2.0, ""), (1, 1234567, None, 0.0, None, 5.0, 5.0, "l", "", "", None, None),
+    ]
+    texts = [(1, 7, None, "BX c", 0.0, 0.0, 1.0, 1.0, "#000000"), (1, 8, 3, None, None, None, None, None, None)]
+    spans = a.text_anchors(spark.createDataFrame(texts, "collection_id int, span_index long, page_number int, raw_text string, x0 double, y0 double, x1 double, y1 double, color_hex string"))
+    got = {r.evidence_id: r for r in a.evidence_records(e.evidence_index(spark.createDataFrame(rows, kind)), spans).collect()}
+    assert {k: (r.geometry_type, r.closed, r.open) for k, r in got.items()} == {
+        "draw-000001": ("closed_path", True, False), "draw-000002": ("closed_path", True, False), "draw-000003": ("open_path", False, True),
+        "draw-1234567": ("open_path", False, False), "text-000007": ("text", False, False), "text-000008": ("text", False, False),
+    }
+    assert [(got[k].operation, got[k].dash_pattern, got[k].stroke_width, got[k].page_number) for k in ("draw-000002", "draw-000003")] == [("l,re", "[4 2] 0", 1.2346, 1), ("unknown", "solid", 2.0, 1)]
+    assert (got["text-000007"].normalized_label, got["text-000007"].fill_hex, got["text-000008"].evidence, got["text-000008"].page_number) == ("BX.c", "#000000", "unknown", 3)

@@ -1,6 +1,7 @@
 """Operators on small literal inputs: what the test tables do not show."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -110,3 +111,52 @@ def test_streams_go_on_and_drop_repeats(spark, tmp_path):
     assert sorted(r.event_id for r in reviews.read_rows(spark, log).collect()) == [1, 2, 3, 4]
     got = {r.target_id: (r.events, r.event_id, r.action) for r in reviews.read_state(spark, state).collect()}
     assert got == {7: (5, 2, "approve"), 8: (1, 3, "edit")}
+
+
+def test_latest_state_is_written_whole(spark, tmp_path):
+    """With a whole table after every second batch: what is read, a mark for each, and nothing lost where such a table broke off or a batch ran again."""
+    from datetime import datetime
+
+    source, state = str(tmp_path / "in"), str(tmp_path / "state")
+    for day in range(1, 6):
+        spark.createDataFrame([(day, datetime(2024, 1, day), 0, 7, f"a{day}", 1.0), (10 + day, datetime(2024, 1, day), 0, 20 + day, "edit", 2.0)], EVENT).coalesce(1).write.mode("append").parquet(source)
+        if day == 4:  # half a table of the next whole state, without its mark
+            spark.range(3).write.parquet(f"{state}/whole/3")
+        reviews.latest_state(spark.readStream.schema(EVENT).parquet(source), state, every=2).awaitTermination()
+        got = {r.target_id: (r.events, r.action) for r in reviews.read_state(spark, state).collect()}
+        assert got == {7: (day, f"a{day}")} | {20 + d: (1, "edit") for d in range(1, day + 1)}
+    assert sorted(r.batch for r in spark.read.parquet(f"{state}/marks").collect()) == [1, 3]
+    now = reviews.read_state(spark, state)
+    plan = now._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: [^\n]*batch#\d+ > 3\)", plan) and any("/whole/3/" in f for f in now.inputFiles())
+
+
+def test_visual_artifacts(spark):
+    """All five classes of holes, voids by vertices and size, a feature without rings, masks by role, and a collection without primary features."""
+    from parcelkit.operators import annotation
+
+    def ring(x, y, w, h):
+        return [(float(x), float(y)), (float(x + w), float(y)), (float(x + w), float(y + h)), (float(x), float(y + h)), (float(x), float(y))]
+
+    outer = ring(0, 0, 100, 100)
+    tri = [(10.0, 10.0), (30.0, 10.0), (10.0, 30.0), (10.0, 10.0)]
+    star = [(0.0, 0.0), (60.0, 0.0), (6.0, 6.0), (0.0, 60.0), (0.0, 0.0)]  # fills little of its box
+    step = [(10.0, 10.0), (30.0, 10.0), (30.0, 22.0), (14.0, 22.0), (14.0, 19.0), (10.0, 19.0), (10.0, 10.0)]  # 95 % of its box, over 1.8 % of the outer ring
+    notch = [(10.0, 10.0), (30.0, 10.0), (30.0, 14.0), (25.0, 14.0), (25.0, 20.0), (10.0, 20.0), (10.0, 10.0)]  # 85 %
+    rows = [
+        (1, 1, [outer, ring(5, 5, 10, 10)], 9900.0, 0.8, True, False, False, ["artifact_requires_review", "needle_spike_candidate"], "#ffffff"),
+        (1, 2, [outer, tri, star], 9000.0, 0.6, False, True, True, ["artifact_requires_review"], "#d9483f"),
+        (1, 3, [outer, step, ring(40, 40, 30, 30)], 9000.0, 0.1, None, None, None, [], None),
+        (1, 4, None, None, None, None, None, None, None, None), (1, 5, [outer, notch], 9830.0, 0.2, False, False, False, [], None),
+    ]
+    kind = "collection_id int, fid int, rings array<array<struct<x:double,y:double>>>, area double, spike double, needle boolean, sliver boolean, corridor boolean, flags array<string>, style_hex string"
+    primary = spark.createDataFrame(rows, kind).withColumn("export_eligible", F.lit(False))
+    raw = spark.createDataFrame([(1, "#ffffff", 2.0, "background_mask_fragment"), (1, "#ffffff", None, None), (1, "#000000", 5.0, "unknown_fragment"), (2, None, None, None)], "collection_id int, style_hex string, area double, role string")
+    got = {r.collection_id: r.asDict() for r in annotation.visual_artifacts(raw, primary, ["collection_id", "fid"]).collect()}
+    one, two = got[1], got[2]
+    assert (one["white_fragments"], float(one["white_area"]), one["background_masks"], one["trusted_white"]) == (2, 2.0, 1, 1)
+    assert (one["max_spike"], one["spikes"], one["spike_reviews"], one["needles"], one["slivers"], one["corridors"]) == (0.8, 2, 1, 1, 1, 1)
+    assert (one["holes"], one["label_masks"], one["hatch_grids"], one["white_backgrounds"], one["real_voids"], one["unknown_holes"]) == (6, 2, 1, 1, 1, 1)
+    assert (one["removed_holes"], one["cleaned_candidates"], one["hole_reviews"], one["triangular_voids"], one["void_reviews"]) == (4, 4, 1, 1, 1)
+    assert one["rectangular"] == 3 and one["rect_reviews"] == 3 and one["void_matches_plan"] == "requires_plan_visual_review"
+    assert two["holes"] == two["spikes"] == two["export_blocked"] == 0 and two["void_source"] is None and two["void_matches_plan"] == "not_applicable"
