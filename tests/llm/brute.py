@@ -63,21 +63,65 @@ def near_copies(rows, width=2, percent=80):
     return {i: (len(s), u.root(i)) for i, s in sets.items()}
 
 
-def repeats(texts, length=200):
-    """(n_bytes, n_removed, n_spans, kept_sha256) of each text."""
-    data = [(t or "").encode() for t in texts]
+def repeated_bytes(data, length=200):
+    """For each byte string which of its bytes a repeated string of ``length`` bytes covers."""
     seen = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
     out = []
     for d in data:
-        gone = np.zeros(len(d) + 1, bool)
+        gone = np.zeros(len(d), bool)
         for i in range(len(d) - length + 1):
             if seen[d[i : i + length]] > 1:
                 gone[i : i + length] = True
-        kept = bytes(b for b, g in zip(d, gone[:-1], strict=True) if not g)
+        out.append(gone)
+    return out
+
+
+def repeats(texts, length=200):
+    """(n_bytes, n_removed, n_spans, kept_sha256) of each text."""
+    data = [(t or "").encode() for t in texts]
+    out = []
+    for d, gone in zip(data, repeated_bytes(data, length), strict=True):
+        kept = bytes(b for b, g in zip(d, gone, strict=True) if not g)
         out.append((len(d), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), hashlib.sha256(kept).hexdigest()))
     return out
 
 
+def without_repeats(texts, length=200):
+    """Each text without the characters of which every byte repeats; null stays null."""
+    out = []
+    for t, gone in zip(texts, repeated_bytes([(t or "").encode() for t in texts], length), strict=True):
+        left, at = [], 0
+        for c in t or "":
+            n = len(c.encode())
+            if not gone[at : at + n].all():
+                left.append(c)
+            at += n
+        out.append(t if t is None else "".join(left))
+    return out
+
+
+def mixed(rows, most=3):
+    """How often each row (id, text, source) is taken."""
+    size = [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, _ in rows]
+    names = sorted({s for *_, s in rows}, key=lambda s: (s is None, s or ""))
+    weight = {s: k % 3 + 1 for k, s in enumerate(names)}
+    own = {s: sum(n for n, r in zip(size, rows, strict=True) if r[2] == s) for s in names}
+    target, free = {}, set(names)
+    while free:
+        left, w = sum(own.values()) - sum(target.values()), sum(weight[s] for s in free)
+        over = {s for s in free if left * weight[s] / w > most * own[s]}
+        for s in over or free:
+            target[s] = most * own[s] if over else left * weight[s] / w
+        free -= over or free
+    out = []
+    for n, (i, _, s) in zip(size, rows, strict=True):
+        rate = target[s] / own[s] if own[s] else 0.0
+        key = "|".join(["mix", "null" if i is None else str(i), str(n), "null" if s is None else s])
+        draw = int(hashlib.md5(key.encode()).hexdigest()[:8], 16) / 2**32
+        out.append(int(rate) + (draw < rate - int(rate)))
+    return out
+
+
 def nearest(rows, is_query, k=5):
     good = [(i, np.array(v, float)) for i, v in rows if ok_vector(v)]
     ids, x = np.array([i for i, _ in good]), np.array([v for _, v in good])
