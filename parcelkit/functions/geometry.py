@@ -12,6 +12,11 @@ def point(x, y) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once: in lambdas and in filters Spark computes a column as often as it is written."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def is_closed(ring: Column, near: float = 1e-6) -> Column:
     """At least four points, and the first and last one alike; false for null and empty rings."""
     a, b = F.get(ring, F.lit(0)), F.get(ring, F.size(ring) - 1)
@@ -19,13 +24,13 @@ def is_closed(ring: Column, near: float = 1e-6) -> Column:
 
 
 def close_ring(ring: Column) -> Column:
-    return F.when(is_closed(ring) | (F.size(ring) == 0), ring).otherwise(F.concat(ring, F.slice(ring, 1, 1)))
+    return let(ring, lambda r: F.when(is_closed(r) | (F.size(r) == 0), r).otherwise(F.concat(r, F.slice(r, 1, 1))))
 
 
 def _edges(ring: Column, edge) -> Column:
     """``edge(p, q)`` for each pair of neighbours."""
-    n = F.greatest(F.size(ring) - 1, F.lit(0))
-    return F.zip_with(F.slice(ring, F.lit(1), n), F.slice(ring, F.lit(2), n), edge)
+    n = lambda r: F.greatest(F.size(r) - 1, F.lit(0))
+    return let(ring, lambda r: F.zip_with(F.slice(r, F.lit(1), n(r)), F.slice(r, F.lit(2), n(r)), edge))
 
 
 def _sum(values: Column) -> Column:
@@ -39,7 +44,8 @@ def ring_area_signed(ring: Column) -> Column:
 
 def ring_area_abs(ring: Column) -> Column:
     """Area of the ring as stored; 0 below four points."""
-    return F.when(F.size(ring) >= 4, F.abs(_sum(_edges(ring, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"]))) / 2).otherwise(0.0)
+    area = lambda r: F.abs(_sum(_edges(r, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"]))) / 2
+    return let(ring, lambda r: F.when(F.size(r) >= 4, area(r)).otherwise(0.0))
 
 
 def polygon_area(rings: Column) -> Column:

@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.paths import numbered
+
+#: The number of a fragment in its collection, as SQL.
+NUMBER = """row_number() OVER (PARTITION BY l_suppkey % 8
+         ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
+                  l_discount, l_tax, l_shipdate) AS drawing_index"""
 
 VIEWS = {
-    "v_fragments": ("lineitem", """
+    "v_fragments": ("lineitem", f"""
 SELECT CAST(l_suppkey % 8 AS INT) AS collection_id,
-       row_number() OVER (PARTITION BY l_suppkey % 8
-         ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
-                  l_discount, l_tax, l_shipdate) AS drawing_index,
+       {NUMBER},
        CAST(l_partkey  %  950 AS DOUBLE) * 1.2 AS x0,
        CAST(l_orderkey % 1350 AS DOUBLE) * 1.2 AS y0,
        l_quantity / 5.0 AS w, 0.5 + l_discount * 60.0 AS h,
@@ -72,9 +78,16 @@ FROM pages
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of VIEWS over the Parquet tables in ``sf_dir``."""
+    """One of VIEWS over the Parquet tables in ``sf_dir``. NUMBER is counted in chunks of its first column, since as a window it puts a collection into one task."""
     base, sql = VIEWS[name]
-    return spark.sql(sql.replace(f"FROM {base}", "FROM {rows}"), rows=spark.read.parquet(f"{sf_dir}/{base}.parquet"))
+    by = [c.strip() for c in NUMBER.split("ORDER BY")[1].split(")")[0].split(",")]
+    keys = [f"_{c}" for c in by]
+    rows = spark.sql(sql.replace(NUMBER, ", ".join(f"{c} AS {k}" for c, k in zip(by, keys, strict=True))).replace(f"FROM {base}", "FROM {rows}"), rows=spark.read.parquet(f"{sf_dir}/{base}.parquet"))
+    if NUMBER not in sql:
+        return rows
+    names = [c for c in rows.columns if c not in keys]
+    out = numbered(rows, "drawing_index", *keys)
+    return out.select(names[0], F.col("drawing_index").cast("int").alias("drawing_index"), *names[1:])
 
 
 def with_views(body: str, *names: str) -> str:
