@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ PAGE_WORDS = ["HLAVNÍ VÝKRES", "HLAVNI VYKRES", "ÚPLNÉ ZNĚNÍ", "UPLNE ZNEN
 TYPE_PATTERNS = {"STAV": ["stabil.*", "stav", "zastaven.*"], "NAVRH": ["navrh", "navrh", "zastaviteln.*", "zmena"], "REZERVA": ["rezerv.*"]}
 # End of fixed values.
 PAGE = (1200.0, 1700.0)
+#: Numbers of a collection's features in a group, and pairs that a task holds at once, where labels are looked for.
+PART, PIECE = 1 << 20, 1 << 20
 AREA = "decimal(18,3)"
 
 
@@ -156,25 +160,56 @@ def merge_groups(fragments: DataFrame) -> DataFrame:
     return groups.where("n >= 2")
 
 
+def _nearest(pad: float, reach: float):
+    """Features of a cell beside the texts around it, in pieces of at most PIECE pairs."""
+
+    def run(f: pa.Table, t: pa.Table) -> pa.Table:
+        order = np.argsort(np.asarray(t.column("span_index").combine_chunks()), kind="stable")
+        tx, ty = (np.asarray(t.column(c).combine_chunks())[order] for c in ("tx", "ty"))
+        x0, y0, x1, y1, cx, cy = (np.asarray(f.column(c).combine_chunks())[:, None] for c in ("x0", "y0", "fx1", "fy1", "fcx", "fcy"))
+        best, score = np.zeros(len(f), np.int64), np.full(len(f), np.inf)
+        step = max(1, PIECE // max(1, len(tx)))
+        for i in range(0, len(f) if len(tx) else 0, step):
+            k = slice(i, i + step)
+            inside = (tx >= x0[k] - pad) & (tx <= x1[k] + pad) & (ty >= y0[k] - pad) & (ty <= y1[k] + pad)
+            away = np.sqrt((tx - cx[k]) * (tx - cx[k]) + (ty - cy[k]) * (ty - cy[k]))
+            away = np.where(inside, 0.0, np.where(away <= reach, away, np.inf))
+            best[k] = away.argmin(axis=1)  # the first of equals, which has the smallest span_index
+            score[k] = away[np.arange(len(away)), best[k]]
+        found = np.flatnonzero(score < np.inf)
+        out = f.select(["collection_id", "drawing_index"]).take(found)
+        spans = t.column("span_index").combine_chunks().take(pa.array(order)).take(pa.array(best[found]))
+        return pa.Table.from_arrays([*out.columns, spans, pa.array(score[found])], names=["collection_id", "drawing_index", "span_index", "score"])
+
+    return run
+
+
 def associate_labels(features: DataFrame, spans: DataFrame, pad: float = 18.0, reach: float = 35.0, cell: float = 64.0) -> DataFrame:
     """(collection_id, drawing_index, span_index, score): the nearest code text of each feature, none beyond ``reach``.
 
     A text whose centre lies in the box padded by ``pad`` scores 0, others their distance to the box's centre; the
-    first span wins ties. Both sides meet in grid cells: a feature goes to the cells that its reach touches, a text
-    to its own, so the join is an equi-join however many of either there are.
+    first span wins ties, so of texts at one place only the first counts. A feature goes to one grid cell, that of its centre, in a grid as wide as it
+    reaches (``cell``, or that doubled); texts, the smaller side, go to the nine cells around them in each grid that has features. A group is one cell's
+    features out of PART numbers of a collection, so no more than that; pairs stay in the task, best ones leave it. Time grows with features times places
+    of texts in nine cells.
     """
     x1, y1 = F.col("x0") + F.col("w"), F.col("y0") + F.col("h")
-    cx, cy = (F.col("x0") + x1) / 2, (F.col("y0") + y1) / 2
-    at = lambda lo, hi: F.explode(F.sequence(F.floor(lo / cell), F.floor(hi / cell)))
-    f = features.select("collection_id", "drawing_index", "x0", "y0", x1.alias("fx1"), y1.alias("fy1"), cx.alias("fcx"), cy.alias("fcy"))
-    f = f.withColumn("gx", at(F.least(F.col("x0") - pad, F.col("fcx") - reach), F.greatest(F.col("fx1") + pad, F.col("fcx") + reach)))
-    f = f.withColumn("gy", at(F.least(F.col("y0") - pad, F.col("fcy") - reach), F.greatest(F.col("fy1") + pad, F.col("fcy") + reach)))
-    t = text_specs(spans).where("code is not null").select("collection_id", "span_index", ((F.col("x0") + F.col("x1")) / 2).alias("tx"), ((F.col("y0") + F.col("y1")) / 2).alias("ty"))
-    t = t.withColumn("gx", F.floor(F.col("tx") / cell)).withColumn("gy", F.floor(F.col("ty") / cell))
-    inside = F.col("tx").between(F.col("x0") - pad, F.col("fx1") + pad) & F.col("ty").between(F.col("y0") - pad, F.col("fy1") + pad)
-    away = F.sqrt((F.col("tx") - F.col("fcx")) * (F.col("tx") - F.col("fcx")) + (F.col("ty") - F.col("fcy")) * (F.col("ty") - F.col("fcy")))
-    pairs = f.join(t.hint("shuffle_hash"), ["collection_id", "gx", "gy"]).withColumn("score", F.when(inside, 0.0).otherwise(away)).where(inside | (F.col("score") <= reach))
-    return pairs.groupBy("collection_id", "drawing_index").agg(F.min(F.struct("score", "span_index")).alias("m")).select("collection_id", "drawing_index", "m.span_index", "m.score")
+    f = features.select("collection_id", "drawing_index", "x0", "y0", x1.alias("fx1"), y1.alias("fy1"), ((F.col("x0") + x1) / 2).alias("fcx"), ((F.col("y0") + y1) / 2).alias("fcy")).where("fcx is not null and fcy is not null")
+    far = F.greatest(F.lit(reach), (F.col("fx1") - F.col("x0")) / 2 + pad, (F.col("fy1") - F.col("y0")) / 2 + pad) * (1 + 1e-9)
+    f = f.withColumn("wide", F.lit(cell) * F.pow(F.lit(2.0), F.greatest(F.lit(0.0), F.ceil(F.log2(far / cell)).cast("double"))))
+    f = f.withColumn("part", F.floor(F.col("drawing_index") / PART)).withColumn("gx", F.floor(F.col("fcx") / F.col("wide"))).withColumn("gy", F.floor(F.col("fcy") / F.col("wide")))
+    t = text_specs(spans).where("code is not null").select("collection_id", "span_index", ((F.col("x0") + F.col("x1")) / 2).alias("tx"), ((F.col("y0") + F.col("y1")) / 2).alias("ty")).where("tx is not null and ty is not null")
+    t = t.groupBy("collection_id", "tx", "ty").agg(F.min("span_index").alias("span_index"))
+    key = ["collection_id", "wide", "gx", "gy"]
+    cells = f.select(*key, "part").distinct()
+    grids = cells.select("collection_id", "wide").distinct()
+    near = lambda at: F.explode(F.sequence(F.floor(F.col(at) / F.col("wide")) - 1, F.floor(F.col(at) / F.col("wide")) + 1))
+    t = t.join(grids.hint("shuffle_hash"), "collection_id").withColumn("gx", near("tx")).withColumn("gy", near("ty"))
+    t = t.join(cells.hint("shuffle_hash"), key).select(*[F.col(c).alias(c) for c in (*key, "part", "span_index", "tx", "ty")])  # columns of its own beside f's
+    types = {x.name: x.dataType.simpleString() for x in [*features.schema, *spans.schema]}
+    out = ", ".join(f"{c} {types[c]}" for c in ("collection_id", "drawing_index", "span_index")) + ", score double"
+    by = [*key, "part"]
+    return f.groupBy(*by).cogroup(t.groupBy(*by)).applyInArrow(_nearest(pad, reach), out)
 
 
 def infer_type(features: DataFrame) -> DataFrame:

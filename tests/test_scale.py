@@ -1,10 +1,14 @@
 """What keeps the work of large tables spread: numbers in chunks, rings worked out once, labels looked for inside cells."""
 
+import math
+import random
+
 from pyspark.sql import functions as F
 
 from parcelkit.functions import geometry as g
 from parcelkit.operators import documents as d
 from parcelkit.operators import paths as p
+from parcelkit.plans import catalogue
 from parcelkit.plans.views import view
 from tests.test_catalogue import SF
 
@@ -36,3 +40,29 @@ def test_ring_in_a_filter_is_worked_out_once(spark):
     rows = d.rings(view(spark, SF, "v_fragments")).where(g.point_in_ring(F.get("rings", F.lit(0)), F.col("x0"), F.col("y0"))).groupBy("shape").count()
     condition = next(line for line in plan(rows).split("\n") if "Filter" in line and "aggregate" in line)
     assert condition.count("= tri") == 2  # with a hole and without
+
+
+def test_nearest_labels_against_all_pairs(spark):
+    """Large boxes and small ones, many texts at one place and none; features meet texts inside cells, not as rows of a join."""
+    rng = random.Random(4)
+    boxes = [(i % 2, i, rng.uniform(-300, 900), rng.uniform(-300, 900), rng.choice([0.0, 2.0, 40.0, 500.0]), rng.choice([0.0, 3.0, 300.0])) for i in range(300)] + [(0, 300, None, 1.0, 2.0, 2.0)]
+    places = [(rng.uniform(-300, 900), rng.uniform(-300, 900)) for _ in range(60)]
+    spans = [(i % 2, i, rng.choice(["BI", "SX", "návrh plochy"]), x, y, x + 16.0, y + 12.0) for i, (x, y) in enumerate(rng.choices(places, k=500))]
+    f = spark.createDataFrame(boxes, "collection_id int, drawing_index int, x0 double, y0 double, w double, h double")
+    t = spark.createDataFrame(spans, "collection_id int, span_index long, raw_text string, x0 double, y0 double, x1 double, y1 double")
+    out = d.associate_labels(f, t)
+    want = set()
+    for c, i, x, y, w, h in boxes[:-1]:
+        found = []
+        for k, n, text, a, b, a1, b1 in spans:
+            if k == c and text != "návrh plochy":
+                tx, ty = (a + a1) / 2, (b + b1) / 2
+                inside = x - 18 <= tx <= x + w + 18 and y - 18 <= ty <= y + h + 18
+                away = math.sqrt((tx - (x + (x + w)) / 2) ** 2 + (ty - (y + (y + h)) / 2) ** 2)
+                if inside or away <= 35:
+                    found.append((0.0 if inside else away, n))
+        if found:
+            want.add((c, i, min(found)[1], round(min(found)[0], 9)))
+    assert {(r.collection_id, r.drawing_index, r.span_index, round(r.score, 9)) for r in out.collect()} == want and len(want) > 100
+    assert "FlatMapCoGroupsInArrow" in plan(out)
+    assert "h6_nearest_labels" in catalogue.QUERIES
