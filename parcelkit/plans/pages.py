@@ -21,8 +21,9 @@ def _tiles(spark, sf_dir):
     k = F.col("drawing_index") - 1
     f = view(spark, sf_dir, "v_fragments").where("collection_id <> 5 or fill_hex in ('#86b37f', '#d9483f')")
     colour = F.coalesce(F.substring("fill_hex", 2, 6), F.lit("7f7f7f"))
-    tile = f.groupBy("collection_id", F.floor(k / 256).alias("tile")).agg(F.map_from_entries(F.collect_list(F.struct((k % 256).alias("p"), colour.alias("c")))).alias("m"))
-    row = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(255)), lambda p: F.coalesce(F.try_element_at("m", p.cast("long")), F.lit("7f7f7f"))), "")
+    tile = f.groupBy("collection_id", F.floor(k / 256).alias("tile")).agg(F.array_sort(F.collect_list(F.struct((k % 256).alias("p"), colour.alias("c")))).alias("m"))
+    row = F.array_join(F.transform("m", lambda e, i: F.concat(F.repeat(F.lit("7f7f7f"), (e["p"] - F.coalesce(F.get("m", i - 1)["p"], F.lit(-1)) - 1).cast("int")), e["c"])), "")
+    row = F.rpad(row, 256 * 6, "7f7f7f")  # grey before each pixel that is there, as far as the one before, and after the last
     return tile.select("collection_id", (F.col("tile") % 8 * 16).alias("left"), (F.floor(F.col("tile") / 8) * 16).alias("top"), F.lit(16).alias("width"), F.lit(3).alias("channels"), F.unhex(row).alias("samples"))
 
 
