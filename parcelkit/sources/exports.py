@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.geometry import let
 from ..operators import intake as i
 
 # Kinds of exports and their formats, and the layers of a project in order.
@@ -29,8 +30,9 @@ def _read(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataF
     lines = spark.read.text(path, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("source_file"), "value").where(F.trim("value") != "")
     told = F.from_json("value", T.StructType([*kinds.fields, T.StructField("_corrupt", T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     rows = lines.withColumn("r", told)
-    missing = F.filter(F.array(*[F.when(F.col("r")[c].isNull(), F.lit(c)) for c in NEEDED[schema]]), lambda x: x.isNotNull())
-    reason = F.when(F.col("r").isNull() | F.col("r._corrupt").isNotNull(), "not_of_the_declared_form").when(F.size(missing) > 0, F.concat(F.lit("missing: "), F.array_join(missing, ", ")))
+    missing = lambda r: F.filter(F.array(*[F.when(r[c].isNull(), F.lit(c)) for c in NEEDED[schema]]), lambda x: x.isNotNull())
+    absent = lambda r: let(missing(r), lambda m: F.when(F.size(m) > 0, F.concat(F.lit("missing: "), F.array_join(m, ", "))))
+    reason = let(told, lambda r: F.when(r.isNull() | r["_corrupt"].isNotNull(), "not_of_the_declared_form").otherwise(absent(r)))  # parsed once, also as a filter
     rows = rows.withColumn("reason", reason)
     good = rows.where("reason is null").select("source_file", *[F.col("r")[c].alias(c) for c in kinds.names])
     return good, rows.where("reason is not null").select("source_file", "reason", F.col("value").alias("record"))

@@ -10,6 +10,7 @@ from parcelkit.operators import documents as d
 from parcelkit.operators import paths as p
 from parcelkit.plans import catalogue
 from parcelkit.plans.views import view
+from parcelkit.sources import exports as ex
 from tests.test_catalogue import SF
 
 
@@ -66,3 +67,12 @@ def test_nearest_labels_against_all_pairs(spark):
     assert {(r.collection_id, r.drawing_index, r.span_index, round(r.score, 9)) for r in out.collect()} == want and len(want) > 100
     assert "FlatMapCoGroupsInArrow" in plan(out)
     assert "h6_nearest_labels" in catalogue.QUERIES
+
+
+def test_lines_are_parsed_once_in_a_filter(spark, tmp_path):
+    """What decides whether a line is good reads its fields from one parse."""
+    (tmp_path / "a.json").write_text('{"collection_id": 1}\n')
+    _, errors = ex.read_drawings(spark, str(tmp_path))
+    assert [r.reason for r in errors.collect()] == ["missing: drawing_index, rect, items"]
+    condition = next(line for line in plan(errors.select("reason")).split("\n") if "Filter" in line and "from_json" in line)
+    assert condition.count("from_json(") == 1
