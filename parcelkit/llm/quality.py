@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import texthash as th
+from . import tokens
 from .common import written
 
 #: At most so many labelled rows, chosen by hash, say what target text is; they are broadcast (17 bytes each).
@@ -32,6 +33,8 @@ PRIOR, SURE, SPARE, TEMPERATURE = 0.5, 2.0, 0.003, 0.1
 #: Bits of a family's bucket numbers: LEAST_BITS up to 65,536 documents, one more for four times as many, MOST_BITS (67 MB of counts on the driver) at most.
 LEAST_BITS, MOST_BITS = 18, 22
 _CHUNK, _SALTS = 4096, 16
+#: Bytes of text that are worked on at once, which take some fifty times as much memory.
+_RUN = 500_000
 
 
 def bucket_bits(rows: int) -> int:
@@ -68,7 +71,7 @@ def _grams(data: np.ndarray, offsets: np.ndarray, bits: int = LEAST_BITS) -> lis
 
 
 def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0.0], np.cumsum(values)])
+    total = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
     return total[first[1:]] - total[first[:-1]]
 
 
@@ -119,10 +122,11 @@ def importance_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id"
     size = 1 << bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.release()
         table = np.zeros((2, 2, size), np.int64)
         for batch in batches:
             train = batch.column("good").to_numpy(zero_copy_only=False).astype(bool) & ~np.array([x is True for x in batch.column("held").to_pylist()], bool)
-            for at, data, offsets in th.buffers(batch.column("text")):
+            for at, data, offsets in th.buffers(batch.column("text"), _RUN):
                 for f, (bucket, first) in enumerate(_grams(data, offsets, bits)):
                     table[f, 0] += np.bincount(bucket, minlength=size)
                     table[f, 1] += np.bincount(bucket[np.repeat(train[at], np.diff(first))], minlength=size)
@@ -143,9 +147,10 @@ def importance_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id"
     sent = spark.sparkContext.broadcast(np.stack([log_ratios(t[1], t[0], f == 1) for f, t in enumerate(table)]) if trained else np.zeros((2, size), np.float32))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.release()
         for batch in batches:
             w: list[list[np.ndarray]] = [[], [], []]
-            for _, data, offsets in th.buffers(batch.column("text")):
+            for _, data, offsets in th.buffers(batch.column("text"), _RUN):
                 for f, (bucket, first) in enumerate(_grams(data, offsets, bits)):
                     w[f].append(_sums(sent.value[f][bucket], first) / np.maximum(1, np.diff(first)) ** (1.0, 0.5)[f])
                 w[2].append(np.diff(first))

@@ -153,6 +153,11 @@ def encoder(first, path: str, lengths: bool = False) -> WordEncoder:
     return kept[key]
 
 
+def release() -> None:
+    """Give up the worker's encoder, whose cache may take hundreds of MB: a worker that is used again goes on with other work."""
+    encoder.__dict__.pop("kept", None)
+
+
 def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:
     """Rows (id_col, n_bytes, n_tokens, over_limit), one per row of ``df``; null texts are empty, null ids are kept.
 

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from parcelkit.llm import quality
+from parcelkit.llm import quality, tokens
 from parcelkit.llm import queries as q
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -113,3 +113,20 @@ def test_ties_at_the_last_place_stay(spark):
 
 def test_buckets_grow():
     assert [quality.bucket_bits(n) for n in (0, 65_536, 65_537, 300_000, 10**7, 10**12)] == [18, 18, 19, 20, 22, 22]
+
+
+def test_sums_do_not_depend_on_the_run():
+    """A document's sum is the same behind any other documents of its run: single precision would lose it behind a million values."""
+    values = np.full(1_000_003, 0.1, np.float32)
+    alone, behind = quality._sums(values[-3:], np.array([0, 3])), quality._sums(values, np.array([0, 1_000_000, 1_000_003]))
+    assert abs(alone[0] - behind[1]) < 1e-6
+
+
+def test_encoder_is_given_up():
+    """The classifier's tasks call this first: a worker that tokenized before does not keep the words it knew."""
+    tokens.encoder(None, q.tokenizer())
+    assert tokens.encoder.kept
+    tokens.release()
+    tokens.release()
+    assert not hasattr(tokens.encoder, "kept")
+    assert tokens.encoder(None, q.tokenizer())("a b")
