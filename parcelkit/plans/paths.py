@@ -69,7 +69,7 @@ def _d4(spark, sf_dir):
 
 @query("d5_features", PATHS + " SELECT collection_id, drawing_index, row_number() OVER (PARTITION BY collection_id ORDER BY drawing_index) AS fid, shape = 'rect' AS only_rects FROM p WHERE fill_hex IS NOT NULL AND NOT page", FRAGMENTS)
 def _d5(spark, sf_dir):
-    return p.emit_features(_polygons(spark, sf_dir), d.PAGE).select(*KEY, "fid", "only_rects")
+    return p.emit_features(_polygons(spark, sf_dir), d.PAGE, [*KEY, "only_rects"]).select(*KEY, "fid", "only_rects")
 
 
 @query("d5_extraction_counters", PATHS + """ SELECT collection_id, count(*) FILTER (fill_hex IS NOT NULL) AS filled, count(*) FILTER (fill_hex IS NOT NULL AND outer_area <= 0.01) AS without_polygon, count(*) FILTER (page) AS backgrounds,
