@@ -53,11 +53,11 @@ def annotate(features: DataFrame, items: DataFrame, definitions: DataFrame) -> D
     """``features`` with flags, proposal, colours, status, export_blocking_reason, trust_state and artifact_count; nothing is ever export_eligible here.
 
     ``items`` (collection_id, code, missing: expected symbols not found) has one row per code; of ``definitions`` (collection_id, code, nth, def_fill, def_stroke)
-    the smallest nth counts. Features need those columns of :func:`artifact_flags`, stroke_hex, type_text and target_code (null or empty: no proposal).
+    the smallest nth counts. Legends are small beside features and are broadcast, so that features are not dealt out by code. Features need those columns of :func:`artifact_flags`, stroke_hex, type_text and target_code (null or empty: no proposal).
     """
     first = definitions.groupBy("collection_id", "code").agg(F.min(F.struct("nth", "def_fill", "def_stroke")).alias("d"))
     known = items.join(first, ["collection_id", "code"], "left").select("collection_id", F.col("code").alias("target_code"), F.lit(True).alias("matched_item"), "missing", F.col("d.def_fill").alias("legend_fill"), F.col("d.def_stroke").alias("legend_stroke"))
-    rows = features.withColumn("target_code", F.nullif(F.col("target_code"), F.lit(""))).join(known, ["collection_id", "target_code"], "left").withColumn("flags", artifact_flags())
+    rows = features.withColumn("target_code", F.nullif(F.col("target_code"), F.lit(""))).join(F.broadcast(known), ["collection_id", "target_code"], "left").withColumn("flags", artifact_flags())
     has, flagged = F.col("target_code").isNotNull(), F.size("flags") > 0
     rows = rows.withColumn("proposed_layer", F.when(has, "RZVP").otherwise("UNMAPPED")).withColumn("proposed_class", F.coalesce("target_code", F.lit("UNMAPPED")))
     rows = rows.withColumn("proposed_type", F.when(has, F.coalesce("type_text", F.lit("UNMAPPED"))).otherwise("UNMAPPED")).withColumn("display", display_color(F.col("style_hex"), F.col("legend_fill"), F.col("proposed_class")))
@@ -89,14 +89,14 @@ def artifact_diagnostics(raw: DataFrame, annotated: DataFrame) -> DataFrame:
     return fragments.join(primary, "collection_id", "left").na.fill(0)
 
 
-def method_counts(raw: DataFrame) -> DataFrame:
-    """One row per collection of ``raw`` fragments (style_hex, stroke_hex, stroke_width, w, h, area): objects, and candidates of hatches, dots and thick boundaries."""
+def method_counts(raw: DataFrame, *more: Column) -> DataFrame:
+    """One row per collection of ``raw`` fragments (style_hex, stroke_hex, stroke_width, w, h, area): objects, and candidates of hatches, dots and thick boundaries; ``more`` is counted along."""
     white = s.near_white(F.col("stroke_hex")) | s.near_white(F.col("style_hex"))
     black = s.near_black(F.col("stroke_hex")) | s.near_black(F.col("style_hex"))
     thin, long = F.least("w", "h"), F.greatest("w", "h")
     return raw.groupBy("collection_id").agg(
         F.count("*").alias("objects"), F.count_if(white & ((F.col("area") <= 250) | (thin <= 4))).alias("hatches"), F.count_if(black & (F.col("area") <= 180) & (long <= 20)).alias("dots"),
-        F.count_if(black & ((F.coalesce("stroke_width", F.lit(0.0)) >= 1.8) | (thin <= 3)) & (F.col("area") <= 1200)).alias("thick"),
+        F.count_if(black & ((F.coalesce("stroke_width", F.lit(0.0)) >= 1.8) | (thin <= 3)) & (F.col("area") <= 1200)).alias("thick"), *more,
     )
 
 
@@ -127,7 +127,7 @@ def extraction_profile(counts: DataFrame) -> DataFrame:
 def attach_profile(annotated: DataFrame, profiles: DataFrame) -> DataFrame:
     """``annotated`` with methods_used and manual_split_required: features with a text near by or a proposal, where the document needs manual splits; they are blocked for that reason."""
     used = F.transform(F.filter("methods", lambda m: m["used"]), lambda m: m["method"])
-    rows = annotated.join(profiles.select("collection_id", used.alias("methods_used"), F.col("manual_split").alias("_manual")), "collection_id", "left")
+    rows = annotated.join(F.broadcast(profiles.select("collection_id", used.alias("methods_used"), F.col("manual_split").alias("_manual"))), "collection_id", "left")
     text = F.nullif(F.col("text_nearby"), F.lit("")).isNotNull() if "text_nearby" in annotated.columns else F.lit(False)
     rows = rows.withColumn("manual_split_required", F.coalesce("_manual", F.lit(False)) & (text | (F.col("proposed_class") != "UNMAPPED"))).drop("_manual")
     return rows.withColumn("export_blocking_reason", F.when(F.col("manual_split_required"), "Blocked: manual split required for hatch/dotted-boundary semantic separation").otherwise(F.col("export_blocking_reason")))

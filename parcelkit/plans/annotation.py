@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import annotation as an
 from ..operators import evidence as e
 from ..operators import legends as lg
+from ..sources.folders import written
 from .catalogue import FRAGMENTS, LEGEND, SHAPE, _profile, _roles, query
 from .records import SYMBOLS
 from .views import view
@@ -30,11 +31,17 @@ def _features(spark, sf_dir):
     return rows.withColumn("target_code", F.when(F.col("drawing_index") % 4 == 0, "BI").when(F.col("drawing_index") % 4 == 1, "SX"))
 
 
-def _annotated(spark, sf_dir):
+def _found(spark, sf_dir):
+    """Those columns of the features that annotation and counts read, written for a query that reads them twice."""
+    of = ["collection_id", "drawing_index", "style_hex", "stroke_hex", "area", "spike", "needle", "sliver", "corridor", "void_review", "hole_review", "islands", "type_text", "target_code"]
+    return written(_features(spark, sf_dir).select(*of), "features")
+
+
+def _annotated(spark, sf_dir, features=None):
     known = view(spark, sf_dir, "v_features")
     items = known.groupBy("collection_id").agg((F.count("*") % 2).alias("missing")).withColumn("code", F.lit("BI"))
     defs = known.where("style_hex <> '#ffffff'").groupBy("collection_id").agg(F.min("style_hex").alias("def_fill")).withColumn("code", F.lit("BI")).withColumn("nth", F.lit(1)).withColumn("def_stroke", F.lit(None).cast("string"))
-    return an.annotate(_features(spark, sf_dir), items, defs)
+    return an.annotate(_features(spark, sf_dir) if features is None else features, items, defs)
 
 
 @query("i7_annotated_features", FOUND + """ SELECT collection_id, CASE WHEN artifact OR white THEN 'artifact_requires_review' ELSE 'requires_review' END AS status, coalesce(target_code, 'UNMAPPED') AS proposed_class,
@@ -57,7 +64,8 @@ def _i8(spark, sf_dir):
 @query("i9_artifact_diagnostics", FOUND + """ SELECT collection_id, count(*) AS fragments, count(*) FILTER (white) AS white_fragments, CAST(coalesce(sum(CAST(area AS DECIMAL(18,3))) FILTER (white), 0) AS DECIMAL(18,3)) AS white_area, count(*) FILTER (white) AS trusted_white, round(max(spike), 4) AS max_spike,
 count(*) FILTER (spike >= 0.55) AS spikes, count(*) FILTER (needle) AS needles, count(*) FILTER (sliver) AS slivers, count(*) FILTER (corridor) AS corridors, count(*) FILTER (needle) AS spike_reviews, count(*) FILTER (artifact) AS artifact_reviews, count(*) AS export_blocked FROM x GROUP BY collection_id""", BOTH)
 def _i9(spark, sf_dir):
-    return an.artifact_diagnostics(_features(spark, sf_dir), _annotated(spark, sf_dir))
+    rows = _found(spark, sf_dir)
+    return an.artifact_diagnostics(rows, _annotated(spark, sf_dir, rows))
 
 
 @query("i9_visual_artifacts", FOUND + """, k AS (SELECT collection_id, count(*) FILTER (white) AS white_fragments, CAST(coalesce(sum(CAST(outer_area AS DECIMAL(18,3))) FILTER (white), 0) AS DECIMAL(18,3)) AS white_area, count(*) FILTER (white AND w * h >= 1020000) AS background_masks, count(*) FILTER (white) AS trusted_white,
@@ -76,23 +84,22 @@ z AS (SELECT collection_id, count(*) AS objects, count(*) FILTER (hatch) AS hatc
   count(*) FILTER (small) AS hatch_holes, count(*) FILTER (target_code IS NOT NULL) AS anchors FROM y GROUP BY collection_id)"""
 
 
-def _profiles(spark, sf_dir):
-    rows = _features(spark, sf_dir)
-    more = rows.groupBy("collection_id").agg(F.sum("void_review").alias("hatch_holes"), F.count("target_code").alias("anchors"), F.count("*").alias("primary"), F.lit(0).alias("legends"), F.count("*").alias("blocked"))
-    return an.extraction_profile(an.method_counts(rows).join(more, "collection_id"))
+def _profiles(features):
+    more = [F.sum("void_review").alias("hatch_holes"), F.count("target_code").alias("anchors"), F.count("*").alias("primary"), F.lit(0).alias("legends"), F.count("*").alias("blocked")]
+    return an.extraction_profile(an.method_counts(features, *more))
 
 
 @query("i10_extraction_methods", METHOD + """ SELECT collection_id, objects, hatches, dots, thick, hatches + hatch_holes > 0 OR dots > 0 OR thick > 0 AS manual_split, 'blocked' AS export_status, unnest(['fill_style_polygonization', 'hatch_pattern_segmentation', 'dotted_boundary_segmentation', 'thick_line_boundary_segmentation', 'text_anchor_region_assignment', 'legend_style_mapping', 'raster_assisted_segmentation', 'manual_split_required']) AS method,
 unnest(['used', CASE WHEN hatches + hatch_holes > 0 THEN 'manual_required' ELSE 'not_attempted' END, CASE WHEN dots > 0 THEN 'manual_required' ELSE 'not_attempted' END, CASE WHEN thick > 0 THEN 'review_required' ELSE 'not_attempted' END, CASE WHEN anchors > 0 THEN 'used' ELSE 'not_attempted' END, 'review_required', 'attempted', 'manual_required']) AS status,
 unnest([objects, hatches + hatch_holes, dots, thick, anchors, 0, 0, objects]) AS evidence FROM z""", BOTH)
 def _i10(spark, sf_dir):
-    rows = _profiles(spark, sf_dir).select("collection_id", "objects", "hatches", "dots", "thick", "manual_split", "export_status", F.explode("methods").alias("m"))
+    rows = _profiles(_features(spark, sf_dir)).select("collection_id", "objects", "hatches", "dots", "thick", "manual_split", "export_status", F.explode("methods").alias("m"))
     return rows.select("collection_id", "objects", "hatches", "dots", "thick", "manual_split", "export_status", "m.method", "m.status", "m.evidence")
 
 
 @query("i11_attached_profile", METHOD + """ SELECT x.collection_id, target_code IS NOT NULL AND (hatches + hatch_holes > 0 OR dots > 0 OR thick > 0) AS manual_split_required, 'fill_style_polygonization' || CASE WHEN anchors > 0 THEN ',text_anchor_region_assignment' ELSE '' END AS methods_used, count(*) AS n FROM x JOIN z USING (collection_id) GROUP BY ALL""", BOTH)
 def _i11(spark, sf_dir):
-    rows = an.attach_profile(_annotated(spark, sf_dir), _profiles(spark, sf_dir)).withColumn("methods_used", F.array_join("methods_used", ","))
+    rows = an.attach_profile(_annotated(spark, sf_dir), _profiles(_features(spark, sf_dir))).withColumn("methods_used", F.array_join("methods_used", ","))
     return rows.groupBy("collection_id", "manual_split_required", "methods_used").agg(F.count("*").alias("n"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from parcelkit.functions import geometry as g
 from parcelkit.operators import documents as d
 from parcelkit.operators import paths as p
-from parcelkit.plans import catalogue
+from parcelkit.plans import annotation, catalogue
 from parcelkit.plans.views import view
 from parcelkit.sources import exports as ex
 from tests.test_catalogue import SF
@@ -76,3 +76,17 @@ def test_lines_are_parsed_once_in_a_filter(spark, tmp_path):
     assert [r.reason for r in errors.collect()] == ["missing: drawing_index, rect, items"]
     condition = next(line for line in plan(errors.select("reason")).split("\n") if "Filter" in line and "from_json" in line)
     assert condition.count("from_json(") == 1
+
+
+def test_features_are_not_dealt_out_by_code(spark):
+    """Legends and profiles are broadcast; counts of a collection are one aggregate over its features."""
+    rows = annotation._annotated(spark, SF).select("collection_id", "proposed_class", "missing")
+    joins = [line for line in rows._jdf.queryExecution().sparkPlan().toString().split("\n") if "Join" in line and "target_code" in line]
+    assert joins and all("BroadcastHashJoin" in line for line in joins)
+    assert plan(annotation._profiles(annotation._features(spark, SF))).count("row_number()") == 1
+
+
+def test_found_features_are_worked_out_once(spark):
+    """Queries that read them twice read a written table: no fragment is numbered above it."""
+    for name in ("i9_artifact_diagnostics",):
+        assert "l_orderkey" not in plan(catalogue.QUERIES[name](spark, SF)), name
