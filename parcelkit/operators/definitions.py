@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import styles as s
+from ..sources.folders import written
 
 #: The parts of a style; path_ops are the counts of its path operators as text.
 STYLE = ["fill_hex", "stroke_hex", "fill_opacity", "stroke_opacity", "stroke_width", "dash_norm", "layer", "path_ops", "is_filled", "is_stroked"]
@@ -36,13 +37,13 @@ def style_definitions(drawings: DataFrame, features: DataFrame, most: int = 8) -
     ``features``: collection_id, drawing_index, feature_id, area, holes; those without drawing_index count nowhere. Null parts of a style are equal.
     Numbers are sums over the style's drawings; first_drawing, is_closed and status are those of its first drawing; rejected_reason is there if any
     filled drawing gave no feature; sample_feature_ids are the first ``most`` features, at most three of a drawing.
-    Samples come from a ranking that stops at ``most`` drawings before its shuffle, so a style that a third of all drawings has stays small.
+    Drawings meet their features once: that table is written, for sums and for samples. Samples come from a ranking that stops at ``most`` drawings before its shuffle, so a style that a third of all drawings has stays small.
     """
     d = drawings.withColumns({"dash_norm": s.dash(F.col("dashes"))["norm"], "path_ops": operator_counts(F.coalesce("ops", F.array().cast("array<string>")))})
     d = d.withColumns({"is_filled": F.col("fill_hex").isNotNull(), "is_stroked": F.col("stroke_hex").isNotNull()})
-    d = d.withColumn("style_key", F.to_json(F.struct(*STYLE), {"ignoreNullFields": "false"}))
     given = emitted(features.where("drawing_index is not null"))
-    rows = d.join(given.hint("merge"), ["collection_id", "drawing_index"], "left").withColumn("rejected", F.when(F.col("is_filled") & F.col("n").isNull(), F.lit(REJECTED)))
+    rows = d.select("collection_id", "drawing_index", *STYLE).join(given.hint("merge"), ["collection_id", "drawing_index"], "left").withColumn("rejected", F.when(F.col("is_filled") & F.col("n").isNull(), F.lit(REJECTED)))
+    rows = written(rows.withColumn("style_key", F.to_json(F.struct(*STYLE), {"ignoreNullFields": "false"})), "styles")  # the key is no part of the join
     key = ["collection_id", "style_key"]
     first = F.min_by(F.struct(*STYLE, (F.col("is_filled") & F.col("n").isNotNull()).alias("is_closed"), F.col("rejected").alias("first_rejected")), "drawing_index").alias("f")
     zero = lambda c: F.coalesce(F.sum(c), F.lit(0))

@@ -86,7 +86,7 @@ def test_features_are_not_dealt_out_by_code(spark):
     assert plan(annotation._profiles(annotation._features(spark, SF))).count("row_number()") == 1
 
 
-def test_found_features_are_worked_out_once(spark):
+def test_found_features_and_styles_are_worked_out_once(spark):
     """Queries that read them twice read a written table: no fragment is numbered above it."""
-    for name in ("i9_artifact_diagnostics",):
+    for name in ("i9_artifact_diagnostics", "e4_whole_styles"):
         assert "l_orderkey" not in plan(catalogue.QUERIES[name](spark, SF)), name
