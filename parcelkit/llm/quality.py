@@ -33,7 +33,7 @@ PRIOR, SURE, SPARE, TEMPERATURE = 0.5, 2.0, 0.003, 0.1
 #: Bits of a family's bucket numbers: LEAST_BITS up to 65,536 documents, one more for four times as many, MOST_BITS (67 MB of counts on the driver) at most.
 LEAST_BITS, MOST_BITS = 18, 22
 _CHUNK, _SALTS = 4096, 16
-#: Bytes of text that are worked on at once, which take some fifty times as much memory.
+#: Bytes of text that are worked on at once; the arrays of a run are many times as large.
 _RUN = 500_000
 
 
