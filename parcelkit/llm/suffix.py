@@ -2,7 +2,8 @@
 
 A repeat of ``length`` bytes is found from sampled suffixes: every window of ``length`` bytes names one anchor, the
 place where its smallest hash of ANCHOR bytes begins (the leftmost one). Equal windows name the same anchor at the same
-distance, so only suffixes that start at anchors are kept, about two in ``length - ANCHOR``. A suffix array here is sparse: a written table of
+distance, so only suffixes that start at anchors are kept, about two in ``length - ANCHOR``, but one in each period of a text that says one thing over and over.
+So a text gives two suffixes of a kind at most, which tell that the kind repeats; where it stands more often, its windows become runs at once. A suffix array here is sparse: a written table of
 such suffixes, range-partitioned and sorted by their first eight bytes, then by the hash of their first ANCHOR bytes, then by the
 hash of all bytes that the anchor's own windows span. Place comes last in the order, so however common a suffix is, it is cut between partitions.
 
@@ -63,15 +64,39 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     return doc, head, grams[place].view(np.int64), hashed(lo, hi + length).view(np.int64), place - offsets[doc], lo - place, hi - place
 
 
-def _suffixes(length: int):
+def alike(kinds: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of these columns: how many rows before it are alike, and how many rows are alike in all."""
+    order = np.lexsort(kinds)
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([np.diff(x[order]) != 0 for x in kinds], axis=0)
+    start = np.flatnonzero(new)
+    size = np.diff(np.append(start, len(order)))
+    before, times = np.empty_like(order), np.empty_like(order)
+    before[order], times[order] = np.arange(len(order)) - np.repeat(start, size), np.repeat(size, size)
+    return before, times
+
+
+def _suffixes(length: int, own: bool = False):
+    """At most two suffixes of each kind from a text. With ``own`` also rows (k, size, first, last) without the other columns: runs of the windows of all kinds that stand there more often."""
+    names = ["head", "anchor", "span", "k", "size", "at", "lo", "hi"] + ["first", "last"] * own
+
+    def rows(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+        n = len(columns["k"])
+        return pa.RecordBatch.from_arrays([pa.array(columns[x]) if x in columns else pa.nulls(n, pa.int16() if x in ("lo", "hi") else pa.int64()) for x in names], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = np.asarray(batch.column("k"))
             for at, data, offsets in th.buffers(batch.column("text")):
                 doc, head, anchor, span, place, lo, hi = anchors(data, offsets, length)
-                size = np.diff(offsets)[doc]
-                columns = (head, anchor, span, keys[at][doc], size, place, lo.astype(np.int16), hi.astype(np.int16))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["head", "anchor", "span", "k", "size", "at", "lo", "hi"])
+                before, times = alike((hi, lo, span, anchor, head, doc))
+                columns = {"head": head, "anchor": anchor, "span": span, "k": keys[at][doc], "size": np.diff(offsets)[doc], "at": place, "lo": lo.astype(np.int16), "hi": hi.astype(np.int16)}
+                yield rows({name: x[before < 2] for name, x in columns.items()})
+                if own and (many := times > 2).any():
+                    doc, first, last = doc[many], (place + lo)[many], (place + hi)[many]
+                    cut = np.flatnonzero((np.diff(doc) != 0) | (first[1:] != last[:-1] + 1)) + 1
+                    a, z = np.concatenate([[0], cut]), np.concatenate([cut - 1, [len(doc) - 1]])
+                    yield rows({"k": columns["k"][many][a], "size": columns["size"][many][a], "first": first[a], "last": last[z]})
 
     return run
 
@@ -169,17 +194,18 @@ class SuffixIndex:
 
         Rows (k, size, first, last): runs of windows that repeat, in the batch or the levels; and the kinds (KIND, k, size, at of one suffix) that need the second look.
         """
-        found = written(texts.mapInArrow(_suffixes(self.length), "head long, anchor long, span long, k long, size long, at long, lo short, hi short"), "suffixes")
-        new = array(found)
+        found = written(texts.mapInArrow(_suffixes(self.length, own=True), "head long, anchor long, span long, k long, size long, at long, lo short, hi short, first long, last long"), "suffixes")
+        new = array(found.where("last is null").drop("first", "last"))
+        own = written(found.where("last is not null").select("k", "size", "first", "last"), "own")
         forget(found)
-        hits = scan(new, [x for _, x in self.levels])
+        runs, looks = scan(new, [x for _, x in self.levels])
         self.levels.append((1, new))
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (n, x), (_, y) = self.levels.pop(), self.levels.pop()
             self.levels.append((2 * n, array(x.union(y))))
             forget(x)
             forget(y)
-        return hits
+        return runs.union(own), looks
 
     def forget(self) -> None:
         """Delete the levels."""

@@ -49,3 +49,17 @@ def test_levels(spark, docs):
     total = index.levels[0][1].count() + index.levels[1][1].count()
     assert total == docs.select(F.col("doc_id").alias("k"), "text").mapInArrow(suffix._suffixes(200), "head long, anchor long, span long, k long, size long, at long, lo short, hi short").count()
     index.forget()
+
+
+def test_one_word_over_and_over(spark):
+    """A text that says one word again and again gives two suffixes of a kind and one run, not one for each word; what goes is the same."""
+    texts = [f"{words(30)} {'Hehees ' * n}{words(30)}" for n in (400, 500, 600)] + [f"{words(30)} {'Hehees ' * 29}", f"{words(30)} {('a' * 700 + 'bc' * 300) * 2} {words(9)}", words(90)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = docs.select(F.col("doc_id").alias("k"), "text")
+    given = rows.mapInArrow(suffix._suffixes(200), "head long, anchor long, span long, k long, size long, at long, lo short, hi short")
+    assert given.groupBy("k", *suffix.KIND).count().agg(F.max("count")).first()[0] == 2
+    index = suffix.SuffixIndex()
+    runs, _ = index.add(rows)
+    assert 0 < runs.count() < 100  # 1,500 and more where each word is a suffix
+    got = {r.doc_id: r for r in suffix.remove_repeats(docs).collect()}
+    assert [(r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in (got[i] for i in range(len(texts)))] == brute.repeats(texts)
