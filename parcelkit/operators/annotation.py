@@ -133,28 +133,35 @@ def attach_profile(annotated: DataFrame, profiles: DataFrame) -> DataFrame:
     return rows.withColumn("export_blocking_reason", F.when(F.col("manual_split_required"), "Blocked: manual split required for hatch/dotted-boundary semantic separation").otherwise(F.col("export_blocking_reason")))
 
 
-def dominant_styles(symbols: DataFrame, features: DataFrame, cell: float = 64.0) -> DataFrame:
+def dominant_styles(symbols: DataFrame, features: DataFrame, cell: float = 64.0, order: tuple[str, ...] = ("drawing_index",)) -> DataFrame:
     """``symbols`` (of legend_symbols) with near (features whose box overlaps the swatch, 10 wider and 8 higher on each side) and their commonest fill (not white or black), stroke (not white) and width, the first one on ties.
 
-    Features (x0, y0, w, h, fill_hex, stroke_hex, stroke_width, drawing_index) meet swatches in grid cells; counts are taken by value.
+    Features (x0, y0, w, h, fill_hex, stroke_hex, stroke_width) come by ``order``: whole numbers, or several columns, the first one whole numbers. Swatches at one place count once. Features inside the extent of all
+    swatches meet them in grid cells, each pair in the one where its overlap begins, so pairs need not be told apart: they are counted by style where they arise.
     """
-    key = ["collection_id", "code", "span_index"]
+    box, style = ["collection_id", "sx0", "sy0", "sx1", "sy1"], ["fill", "stroke", "width"]
     at = lambda lo, hi: F.explode(F.sequence(F.floor(lo / cell), F.floor(hi / cell)))
-    swatch = symbols.select(*key, (F.col("sx0") - 10).alias("a0"), (F.col("sy0") - 8).alias("b0"), (F.col("sx1") + 10).alias("a1"), (F.col("sy1") + 8).alias("b1"))
+    swatch = symbols.select(*box, (F.col("sx0") - 10).alias("a0"), (F.col("sy0") - 8).alias("b0"), (F.col("sx1") + 10).alias("a1"), (F.col("sy1") + 8).alias("b1")).distinct()
+    extent = swatch.agg(F.min("a0").alias("ex0"), F.min("b0").alias("ey0"), F.max("a1").alias("ex1"), F.max("b1").alias("ey1")).where("ex0 is not null")
     swatch = swatch.withColumn("gx", at(F.col("a0"), F.col("a1"))).withColumn("gy", at(F.col("b0"), F.col("b1")))
     x1, y1 = F.col("x0") + F.col("w"), F.col("y0") + F.col("h")
-    f = features.select("collection_id", "drawing_index", "x0", "y0", x1.alias("x1"), y1.alias("y1"), "fill_hex", "stroke_hex", "stroke_width").withColumn("gx", at(F.col("x0"), F.col("x1"))).withColumn("gy", at(F.col("y0"), F.col("y1")))
-    meet = (F.least("x1", "a1") - F.greatest("x0", "a0") > 0) & (F.least("y1", "b1") - F.greatest("y0", "b0") > 0)
-    pairs = f.join(swatch.hint("shuffle_hash"), ["collection_id", "gx", "gy"]).where(meet).select(*key, "drawing_index", "fill_hex", "stroke_hex", "stroke_width").distinct()
-    fill = F.when(~F.col("fill_hex").isin("", "#ffffff", "#fff", "#000000"), F.col("fill_hex"))
-    stroke = F.when(~F.col("stroke_hex").isin("", "#ffffff"), F.col("stroke_hex"))
-    values = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in (("fill", fill), ("stroke", stroke), ("width", F.col("stroke_width").cast("string")))]))
-    told = pairs.select(*key, "drawing_index", values.alias("v")).select(*key, "drawing_index", "v.*").where("value is not null")
-    counted = told.groupBy(*key, "kind", "value").agg(F.count("*").alias("n"), F.min("drawing_index").alias("first"))
-    best = counted.groupBy(*key, "kind").agg(F.max_by("value", F.struct("n", -F.col("first"))).alias("value"))
-    best = best.groupBy(*key).agg(*[F.max(F.when(F.col("kind") == k, F.col("value"))).alias(f"symbol_{k}") for k in ("fill", "stroke", "width")])
-    near = pairs.groupBy(*key).agg(F.count("*").alias("near"))
-    rows = symbols.join(near.hint("shuffle_hash"), key, "left").join(best.hint("shuffle_hash"), key, "left")
+    fill = F.when(~F.col("fill_hex").isin("", "#ffffff", "#fff", "#000000"), F.col("fill_hex")).alias("fill")
+    stroke = F.when(~F.col("stroke_hex").isin("", "#ffffff"), F.col("stroke_hex")).alias("stroke")
+    f = features.select("collection_id", *order, "x0", "y0", x1.alias("x1"), y1.alias("y1"), fill, stroke, F.col("stroke_width").alias("width"))
+    over = lambda *c: (F.least("x1", c[2]) > F.greatest("x0", c[0])) & (F.least("y1", c[3]) > F.greatest("y0", c[1]))
+    ends = ("ex0", "ey0", "ex1", "ey1")
+    f = f.where("x0 is not null and y0 is not null and x1 is not null and y1 is not null").join(F.broadcast(extent), over(*ends))
+    f = p.numbered(f, "nth", *order) if len(order) > 1 else f.withColumn("nth", F.col(order[0]))
+    f = f.withColumn("gx", at(F.greatest("x0", "ex0"), F.least("x1", "ex1"))).withColumn("gy", at(F.greatest("y0", "ey0"), F.least("y1", "ey1"))).drop(*ends, *order)
+    begins = (F.col("gx") == F.floor(F.greatest("x0", "a0") / cell)) & (F.col("gy") == F.floor(F.greatest("y0", "b0") / cell))
+    pairs = f.join(swatch.hint("shuffle_hash"), ["collection_id", "gx", "gy"]).where(over("a0", "b0", "a1", "b1") & begins)
+    styles = pairs.groupBy(*box, *style).agg(F.count("*").alias("n"), F.min("nth").alias("first"))
+    values = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in (("near", F.lit("")), *((k, F.col(k).cast("string")) for k in style))]))
+    told = styles.select(*box, "n", "first", values.alias("v")).select(*box, "n", "first", "v.*").where("value is not null")
+    counted = told.groupBy(*box, "kind", "value").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    best = lambda k: F.max_by("value", F.when(F.col("kind") == k, F.struct("n", -F.col("first"), "value"))).alias(f"symbol_{k}")
+    found = counted.groupBy(*box).agg(F.max(F.when(F.col("kind") == "near", F.col("n"))).alias("near"), *[best(k) for k in style])
+    rows = symbols.join(found.hint("shuffle_hash"), box, "left").select(*symbols.columns, "near", *[f"symbol_{k}" for k in style])
     return rows.withColumn("near", F.coalesce("near", F.lit(0))).withColumn("symbol_width", F.col("symbol_width").cast("double"))
 
 

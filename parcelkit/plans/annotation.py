@@ -10,7 +10,7 @@ from ..operators import legends as lg
 from ..sources.folders import written
 from .catalogue import FRAGMENTS, LEGEND, SHAPE, _profile, _roles, query
 from .records import SYMBOLS
-from .views import view
+from .views import ORDER, view
 
 BOTH = ("v_fragments", "v_features")
 #: Items and definitions of one code; fragments with their shape, hole and colour findings.
@@ -112,7 +112,7 @@ SPANS = ("v_spans", "v_fragments")
 
 
 def _styled(spark, sf_dir):
-    return an.dominant_styles(lg.legend_symbols(view(spark, sf_dir, "v_spans"), LEGEND), view(spark, sf_dir, "v_fragments"))
+    return an.dominant_styles(lg.legend_symbols(view(spark, sf_dir, "v_spans"), LEGEND), view(spark, sf_dir, "v_fragments", number=False), order=ORDER)
 
 
 @query("f9_dominant_styles", STYLED + " SELECT * FROM d", SPANS)

@@ -11,6 +11,8 @@ from ..operators.paths import numbered
 NUMBER = """row_number() OVER (PARTITION BY l_suppkey % 8
          ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
                   l_discount, l_tax, l_shipdate) AS drawing_index"""
+#: The columns it is counted by, as those have them that ask for no number.
+ORDER = tuple(f"_{c.strip()}" for c in NUMBER.split("ORDER BY")[1].split(")")[0].split(","))
 
 VIEWS = {
     "v_fragments": ("lineitem", f"""
@@ -77,16 +79,17 @@ FROM pages
 }
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of VIEWS over the Parquet tables in ``sf_dir``. NUMBER is counted in chunks of its first column, since as a window it puts a collection into one task."""
+def view(spark: SparkSession, sf_dir: str, name: str, number: bool = True) -> DataFrame:
+    """One of VIEWS over the Parquet tables in ``sf_dir``. NUMBER is counted in chunks of its first column, since as a window it puts a collection into one task.
+
+    Without ``number``, ORDER stands in its place, for those that need the order of a few rows only.
+    """
     base, sql = VIEWS[name]
-    by = [c.strip() for c in NUMBER.split("ORDER BY")[1].split(")")[0].split(",")]
-    keys = [f"_{c}" for c in by]
-    rows = spark.sql(sql.replace(NUMBER, ", ".join(f"{c} AS {k}" for c, k in zip(by, keys, strict=True))).replace(f"FROM {base}", "FROM {rows}"), rows=spark.read.parquet(f"{sf_dir}/{base}.parquet"))
-    if NUMBER not in sql:
+    rows = spark.sql(sql.replace(NUMBER, ", ".join(f"{k[1:]} AS {k}" for k in ORDER)).replace(f"FROM {base}", "FROM {rows}"), rows=spark.read.parquet(f"{sf_dir}/{base}.parquet"))
+    if NUMBER not in sql or not number:
         return rows
-    names = [c for c in rows.columns if c not in keys]
-    out = numbered(rows, "drawing_index", *keys)
+    names = [c for c in rows.columns if c not in ORDER]
+    out = numbered(rows, "drawing_index", *ORDER)
     return out.select(names[0], F.col("drawing_index").cast("int").alias("drawing_index"), *names[1:])
 
 
